@@ -48,11 +48,11 @@ def raw(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def hashed(text: pa.Array, lower: bool = False, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hashed(text: pa.Array, lower: bool = False, kinds: np.ndarray | None = None, spaces: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, offsets, starts, ends): text k has the words offsets[k]:offsets[k+1]; starts and ends are bytes into raw(text)[0]. kinds: words are split, too, between bytes of different kinds that are both above 0."""
     data, offsets = raw(text)
     n, values = len(data), _LOWERED if lower else _BYTES
-    space = _SPACE[data]
+    space = spaces[data]
     fresh = np.zeros(n + 1, bool)  # a text begins here
     fresh[offsets] = True
     solid = ~space
