@@ -194,7 +194,8 @@ def mixed(rows: DataFrame, plan: Plan, shard_slots: int = 1024, how: str = "inne
     """Rows of the mix: for each slot and each document of its block the words taken, word_start counted in the document. how="left" keeps documents that give none."""
     b = plan.block
     parts = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)))))
-    got = parts.join(slots_of(rows.sparkSession, plan, shard_slots), ["source_no", "block"], how)
+    # The slots grow with the words, whatever the planner makes of the few rows that they come from: never broadcast.
+    got = parts.join(slots_of(rows.sparkSession, plan, shard_slots).hint("merge"), ["source_no", "block"], how)
     low, high = F.greatest("start", F.col("block") * b), F.least(F.col("start") + F.col("size"), F.col("block") * b + F.col("take"))
     got = got.withColumn("words", F.when(F.col("shard").isNull(), 0).otherwise(F.greatest(F.lit(0), high - low)).cast("long")).withColumn("word_start", low - F.col("start"))
     return got if how == "left" else got.filter("words > 0")

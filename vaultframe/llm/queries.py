@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultframe.llm import ann, html, language, mixing, packing, pii, quality, topk
+from vaultframe.llm import ann, html, language, mixing, ngram_join, packing, pii, quality, topk
 from vaultframe.llm.common import table
 
 
@@ -17,6 +17,10 @@ def _held_out(parts: int, part: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == part, F.lit(False))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def _asked():
     return F.col("vec_id") % 50 == 0
 
@@ -58,8 +62,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_neighbours, op4_language, op6_quality, op7_topk, op8_pii, op9_html, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_neighbours, op4_language, op6_quality, op7_topk, op8_pii, op9_html, op10_packing)}
+#: Words of documents as SQL; {text} is the text expression.
+_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWERED = _WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
 ORACLE_SQL = {
+    "op2_ngram_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_LOWERED} AS w FROM documents
+        ), s AS (
+            SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 3
+                THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM d
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), l AS (
+            SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)
+        ), r AS (
+            SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y
+        )
+        SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.y) AS component_id
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GROUP BY d.doc_id""",
     "op7_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec FROM embeddings
