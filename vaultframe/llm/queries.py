@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultframe.llm import ann, html, language, mixing, ngram_join, packing, pii, quality, topk
+from vaultframe.llm import ann, html, language, mixing, ngram_join, packing, pii, quality, repeats, topk
 from vaultframe.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), model).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.learn(docs, table(spark, sf_dir, "labels"), ~_held_out(5, 0))
@@ -62,7 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_neighbours, op4_language, op6_quality, op7_topk, op8_pii, op9_html, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_neighbours, op4_language, op5_repeats, op6_quality, op7_topk, op8_pii, op9_html, op10_packing)}
 #: Words of documents as SQL; {text} is the text expression.
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWERED = _WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
@@ -83,6 +87,20 @@ ORACLE_SQL = {
         )
         SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.y) AS component_id
         FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GROUP BY d.doc_id""",
+    "op5_repeats": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents
+        ), g AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)
+        ), m AS (SELECT t, min((doc_id, i)) AS e FROM g GROUP BY t HAVING count(*) > 1
+        ), c AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM g JOIN m USING (t) WHERE (doc_id, i) > e
+        ), a AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d
+        ), k AS (
+            SELECT a.doc_id, string_agg(x, ' ' ORDER BY a.p) FILTER (c.p IS NULL) AS kept, count(c.p) AS n_removed
+            FROM a LEFT JOIN c ON a.doc_id = c.doc_id AND a.p = c.p GROUP BY a.doc_id
+        )
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
     "op7_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec FROM embeddings
