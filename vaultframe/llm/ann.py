@@ -96,9 +96,10 @@ def search(df: DataFrame, query: Column, tables: int = 10, probes: int = 8, part
     data = reps.select("id", "ids", "dim", scaled.alias("vec")).mapInArrow(_hashed(tables, 1, seed), f"id long, ids array<bigint>, {kind}")
     probe = once.select("id", "dim", scaled.alias("vec")).mapInArrow(_hashed(tables, probes, seed), f"id long, {kind}")
     keys = ["bucket_table", "code", "dim"]
-    sizes = reps.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("dim") / 2 / part)).cast("int").alias("cuts"))
-    data = data.join(sizes, "dim").withColumn("cut", F.pmod(F.xxhash64("id"), "cuts").cast("int")).drop("cuts")
-    probe = probe.join(sizes, "dim").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
+    counts = {r.dim: r.n for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row for each dimension
+    cuts = F.coalesce(*(F.when(F.col("dim") == d, max(1, -(-n // (2 * d * part)))) for d, n in counts.items()), F.lit(1))
+    data = data.withColumn("cut", F.pmod(F.xxhash64("id"), cuts).cast("int"))
+    probe = probe.withColumn("cut", F.explode(F.sequence(F.lit(0), cuts - 1)))
     keys += ["cut"]
     found = probe.groupBy(keys).cogroup(data.groupBy(keys)).applyInArrow(_ranked, vectors.FOUND.format("double"))
     return vectors.answers(found, names)

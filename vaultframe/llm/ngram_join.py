@@ -361,3 +361,30 @@ class Join:
 
 def classes(df: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     return Join(df, k, num, den).classes()
+
+
+def _named(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _each(k)(batches):
+            yield part.append_column(pa.field("__node", pa.int64()), pa.array([name(s) if len(s) else None for s in found], pa.int64()))
+
+    return run
+
+
+def keep_one(df: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """df with one row of each group: that of the smallest doc_id, one of equal rows. Rows without shingles all stay. doc_id must not be null where there is text."""
+    join = Join(df, k, num, den)
+    comps = components(join.links)
+    group = join.first.join(comps, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    kept = written(group.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("x")).select(F.col("x.doc_id").alias("__doc"), F.col("x.node").alias("__kept")))
+    schema = df.withColumn("text", F.col("text").cast("string")).withColumn("__node", F.lit(0).cast("long")).schema
+    for field in schema.fields:
+        field.nullable = True
+    rows = df.withColumn("text", F.col("text").cast("string")).mapInArrow(_named(k), schema)
+    own = rows.join(_small(kept, kept.count()), (F.col("__node") == F.col("__kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
+    repeated = join.nodes.filter("node is not null").groupBy("doc_id", "node").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("__d"), F.col("node").alias("__n"))
+    stay = own.filter("__node is null or __kept is not null")
+    if not repeated.isEmpty():  # rows that are there again: only these are shuffled
+        again = stay.join(repeated, (F.col("__node") == F.col("__n")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left")
+        stay = again.filter("__n is null").drop("__d", "__n").unionByName(again.filter("__n is not null").drop("__d", "__n").dropDuplicates(["__node", "__doc"]))
+    return stay.select(*df.columns)
