@@ -1,0 +1,354 @@
+"""Archives of file trees: a source and a sink of entry rows.
+
+An archive is a stream of items, each a header (kind and full size, both unsigned 64-bit little-endian) and its
+content. Version 1 keeps file bytes inline, version 2 in a second stream that the first refers to.
+"""
+
+from __future__ import annotations
+
+import io
+import struct
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from typing import Any, BinaryIO
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from vaultframe.functions.codecs import siphash
+from vaultframe.functions.scalars import TYPE_MASK, TYPES
+from vaultframe.operators.goodbye import layout
+from vaultframe.schema import ENTRIES
+
+# Fixed values of the format: kinds of items.
+VERSION = 0x730F6C75DF16A40D
+ENTRY = 0xD5956474E588ACEF
+ENTRY_V1 = 0x11DA850A1C1CCEFF
+PRELUDE = 0xE309D79D9F7B771B
+FILENAME = 0x16701121063917B3
+SYMLINK = 0x27F971E7DBF5DC5F
+DEVICE = 0x9FC9E906586D5CE9
+XATTR = 0x0DAB0229B57DCD03
+ACL_USER = 0x2CE8540A457D55B8
+ACL_GROUP = 0x136E3ECEB04C03AB
+ACL_GROUP_OBJ = 0x10868031E9582876
+ACL_DEFAULT = 0xBBBB13415A6896F5
+ACL_DEFAULT_USER = 0xC89357B40532CD1F
+ACL_DEFAULT_GROUP = 0xF90A8A5816038FFE
+FCAPS = 0x2DA9DD9DB5F7FB67
+QUOTA = 0xE07540E82F7D1CBB
+HARDLINK = 0x51269C8422BD7275
+PAYLOAD = 0x28147A1B0B7C1A25
+PAYLOAD_REF = 0x419D3D6BC4BA977E
+GOODBYE = 0x2FEC4FA642D5731D
+GOODBYE_TAIL = 0xEF5EED5B753E1555
+PAYLOAD_START = 0x834C68C2194A4ED2
+PAYLOAD_TAIL = 0x6C72B78B984C81B5
+# The most content of kinds that have a bound.
+MOST = {FILENAME: 4097, SYMLINK: 4097, HARDLINK: 4105, DEVICE: 16, XATTR: 65791, FCAPS: 65791, ACL_USER: 24, ACL_GROUP: 24, ACL_DEFAULT_USER: 24, ACL_DEFAULT_GROUP: 24, ACL_DEFAULT: 32, ACL_GROUP_OBJ: 8, QUOTA: 8, ENTRY: 40, PAYLOAD_REF: 16, PAYLOAD_TAIL: 0}
+HEADER = struct.Struct("<QQ")
+STAT = struct.Struct("<QQIIqI4x")
+STAT_V1 = struct.Struct("<QQIIQ")
+PAIR = struct.Struct("<QQ")
+_LISTS = {ACL_USER: "users", ACL_GROUP: "groups", ACL_DEFAULT_USER: "default_users", ACL_DEFAULT_GROUP: "default_groups"}
+_KIND_OF = {v: ("device" if k in ("block", "char") else k) for k, v in TYPES.items()}
+
+
+def _signed(v: int) -> int:
+    return v - (1 << 64) if v >> 63 else v
+
+
+def _blank() -> dict[str, Any]:
+    return {"xattrs": [], "acl": {"users": [], "groups": [], "group_obj": None, "default": None, "default_users": [], "default_groups": []}, "fcaps": None, "quota_project_id": None, "link_target": None, "link_offset": None, "dev_major": None, "dev_minor": None, "content": None, "size": 0, "payload_offset": None, "content_offset": None}
+
+
+def read(stream: BinaryIO, payload: BinaryIO | None = None, content: bool = True) -> Iterator[dict[str, Any]]:
+    """Entries of an archive in the order of the stream. Unknown kinds of items are an error; content is read only if asked for."""
+    at, stack, now = 0, [], None  # stack: paths of open directories
+
+    def take(n: int) -> bytes:
+        nonlocal at
+        got = stream.read(n)
+        if len(got) != n:
+            raise ValueError(f"archive ends within an item at {at}")
+        at += n
+        return got
+
+    def done(kind: str | None = None) -> Iterator[dict[str, Any]]:
+        nonlocal now
+        if now is not None and "mode" in now:
+            now["kind"] = kind or _KIND_OF.get(now["mode"] & TYPE_MASK, "directory")
+            yield now
+            if now["kind"] == "directory":
+                stack.append(now["path"])
+        now = None
+
+    name, name_at = None, 0
+    while header := stream.read(16):
+        if len(header) != 16:
+            raise ValueError(f"archive ends within a header at {at}")
+        begun, at = at, at + 16
+        kind, size = HEADER.unpack(header)
+        size -= 16
+        if size < 0 or size > MOST.get(kind, size):
+            raise ValueError(f"item of wrong size at {begun}")
+        if kind in (VERSION, PRELUDE):
+            take(size)
+        elif kind == FILENAME:
+            yield from done()
+            name, name_at = take(size)[:-1].decode("utf-8", "surrogateescape"), begun
+        elif kind in (ENTRY, ENTRY_V1):
+            raw = take(size)
+            mode, flags, uid, gid, *when = (STAT if kind == ENTRY else STAT_V1).unpack(raw)
+            secs, nanos = when if kind == ENTRY else divmod(when[0], 1_000_000_000)
+            parent = stack[-1] if stack else None
+            path = "/" if parent is None else f"{parent.rstrip('/')}/{name}"
+            now = _blank() | {"path": path, "parent": parent, "name": "" if parent is None else name, "file_offset": begun if parent is None else name_at, "mode": mode, "flags": _signed(flags), "uid": uid, "gid": gid, "mtime_secs": secs, "mtime_nanos": nanos}
+            if mode & TYPE_MASK == TYPES["directory"]:
+                now["content_offset"] = at
+        elif kind == XATTR:
+            key, _, value = take(size).partition(b"\0")
+            now["xattrs"].append({"name": key, "value": value})
+        elif kind in _LISTS:
+            who, may = PAIR.unpack(take(size)[:16])
+            now["acl"][_LISTS[kind]].append({"id": _signed(who), "permissions": _signed(may)})
+        elif kind == ACL_GROUP_OBJ:
+            now["acl"]["group_obj"] = _signed(int.from_bytes(take(size), "little"))
+        elif kind == ACL_DEFAULT:
+            now["acl"]["default"] = dict(zip(("user_obj", "group_obj", "other", "mask"), map(_signed, struct.unpack("<QQQQ", take(size))), strict=True))
+        elif kind == FCAPS:
+            now["fcaps"] = take(size)
+        elif kind == QUOTA:
+            now["quota_project_id"] = _signed(int.from_bytes(take(size), "little"))
+        elif kind == SYMLINK:
+            now["link_target"] = take(size)[:-1].decode("utf-8", "surrogateescape")
+            yield from done("symlink")
+        elif kind == HARDLINK:
+            raw = take(size)
+            parent = stack[-1] if stack else "/"
+            now = _blank() | dict.fromkeys(("mode", "flags", "uid", "gid", "mtime_secs", "mtime_nanos")) | {"path": f"{parent.rstrip('/')}/{name}", "parent": parent, "name": name, "file_offset": name_at, "link_offset": name_at - int.from_bytes(raw[:8], "little"), "link_target": raw[8:-1].decode("utf-8", "surrogateescape")}
+            yield from done("hardlink")
+        elif kind == DEVICE:
+            now["dev_major"], now["dev_minor"] = PAIR.unpack(take(size))
+            yield from done("device")
+        elif kind == PAYLOAD:
+            now["size"], now["content_offset"] = size, at
+            if content:
+                now["content"] = take(size)
+            else:
+                at = stream.seek(size, io.SEEK_CUR)
+            yield from done("file")
+        elif kind == PAYLOAD_REF:
+            now["payload_offset"], now["size"] = PAIR.unpack(take(size))
+            if content and payload is not None:
+                payload.seek(now["payload_offset"])
+                tag, full = HEADER.unpack(payload.read(16))
+                if tag != PAYLOAD or full - 16 != now["size"]:
+                    raise ValueError(f"no payload of {now['size']} bytes at {now['payload_offset']}")
+                now["content"] = payload.read(now["size"])
+            yield from done("file")
+        elif kind == GOODBYE:
+            yield from done()
+            take(size)
+            if stack:
+                stack.pop()
+        else:
+            raise ValueError(f"unknown kind of item at {begun}")
+    yield from done()
+
+
+@dataclass
+class _Open:
+    path: str
+    item: int
+    entry_at: int
+    items: list[tuple[bytes, int, int]] = field(default_factory=list)
+
+
+class Writer:
+    """Writes entries in pre-order, the root first. With a second stream the archive is of version 2."""
+
+    def __init__(self, out: BinaryIO, payload: BinaryIO | None = None, prelude: bytes | None = None):
+        self.out, self.payload, self.at, self.paid, self.open = out, payload, 0, 0, []
+        self.places: dict[str, int] = {}
+        if payload is not None:
+            payload.write(HEADER.pack(PAYLOAD_START, 16))
+            self.paid = 16
+            self._item(VERSION, (2).to_bytes(8, "little"))
+            if prelude is not None:
+                self._item(PRELUDE, prelude)
+
+    def _item(self, kind: int, content: bytes) -> None:
+        self.out.write(HEADER.pack(kind, 16 + len(content)) + content)
+        self.at += 16 + len(content)
+
+    def _metadata(self, e: dict[str, Any]) -> None:
+        u = lambda v: (v or 0) & (1 << 64) - 1
+        self._item(ENTRY, STAT.pack(u(e["mode"]), u(e.get("flags")), e.get("uid") or 0, e.get("gid") or 0, e.get("mtime_secs") or 0, e.get("mtime_nanos") or 0))
+        for x in e.get("xattrs") or []:
+            self._item(XATTR, bytes(x["name"]) + b"\0" + bytes(x["value"]))
+        acl = e.get("acl") or {}
+        pairs = lambda kind: [self._item(kind, PAIR.pack(u(x["id"]), u(x["permissions"]))) for x in acl.get(_LISTS[kind]) or []]
+        pairs(ACL_USER)
+        pairs(ACL_GROUP)
+        if acl.get("group_obj") is not None:
+            self._item(ACL_GROUP_OBJ, u(acl["group_obj"]).to_bytes(8, "little"))
+        if acl.get("default") is not None:
+            self._item(ACL_DEFAULT, struct.pack("<QQQQ", *(u(acl["default"][k]) for k in ("user_obj", "group_obj", "other", "mask"))))
+        pairs(ACL_DEFAULT_USER)
+        pairs(ACL_DEFAULT_GROUP)
+        if e.get("fcaps"):
+            self._item(FCAPS, bytes(e["fcaps"]))
+        if e.get("quota_project_id") is not None:
+            self._item(QUOTA, u(e["quota_project_id"]).to_bytes(8, "little"))
+
+    def _close(self) -> None:
+        own = self.open.pop()
+        ordered = [(int(h), at, end) for h, (_, at, end) in zip(siphash([n for n, _, _ in own.items]), own.items, strict=True)]
+        ordered.sort(key=lambda x: x[0])
+        here = self.at
+        rows = [(ordered[k][0], here - ordered[k][1], ordered[k][2] - ordered[k][1]) for k in layout(len(ordered))]
+        rows.append((GOODBYE_TAIL, here - own.entry_at, 16 + 24 * (len(rows) + 1)))
+        self._item(GOODBYE, b"".join(struct.pack("<QQQ", *r) for r in rows))
+        if self.open:
+            name, at, _ = self.open[-1].items[own.item]
+            self.open[-1].items[own.item] = (name, at, self.at)
+
+    def add(self, e: dict[str, Any]) -> None:
+        path, kind = e["path"], e["kind"]
+        if path == "/":
+            if self.open or kind != "directory":
+                raise ValueError("the root is a directory and comes first")
+            self.open.append(_Open("/", -1, self.at))
+            self._metadata(e)
+            return
+        parent, _, name = path.rpartition("/")
+        parent = parent or "/"
+        while self.open and self.open[-1].path != parent:
+            self._close()
+        if not self.open:
+            raise ValueError(f"{path} comes before its directory")
+        if not name or name in (".", ".."):
+            raise ValueError(f"invalid name: {name!r}")
+        if kind != "hardlink" and _KIND_OF.get(e["mode"] & TYPE_MASK) != kind:
+            raise ValueError(f"the mode of {path} is not that of a {kind}")
+        raw, begun = name.encode("utf-8", "surrogateescape"), self.at
+        self._item(FILENAME, raw + b"\0")
+        top = self.open[-1]
+        if kind == "hardlink":
+            target = self.places.get(e["link_target"], e.get("link_offset"))
+            if target is None or target >= begun:
+                raise ValueError("a hard link names an earlier file")
+            self._item(HARDLINK, (begun - target).to_bytes(8, "little") + e["link_target"].encode("utf-8", "surrogateescape") + b"\0")
+        else:
+            entry_at = self.at
+            self._metadata(e)
+            if kind == "directory":
+                top.items.append((raw, begun, begun))
+                self.open.append(_Open(path, len(top.items) - 1, entry_at))
+                return
+            if kind == "file":
+                self.places[path] = begun
+                body = bytes(e.get("content") or b"")
+                if self.payload is None:
+                    self._item(PAYLOAD, body)
+                else:
+                    self._item(PAYLOAD_REF, PAIR.pack(self.paid, len(body)))
+                    self.payload.write(HEADER.pack(PAYLOAD, 16 + len(body)) + body)
+                    self.paid += 16 + len(body)
+            elif kind == "symlink":
+                self._item(SYMLINK, e["link_target"].encode("utf-8", "surrogateescape") + b"\0")
+            elif kind == "device":
+                self._item(DEVICE, PAIR.pack(e["dev_major"], e["dev_minor"]))
+        top.items.append((raw, begun, self.at))
+
+    def close(self) -> None:
+        while self.open:
+            self._close()
+        if self.payload is not None:
+            self.payload.write(HEADER.pack(PAYLOAD_TAIL, 16))
+
+
+def encode(entries: list[dict[str, Any]], split: bool = False, prelude: bytes | None = None) -> tuple[bytes, bytes | None]:
+    """(archive, payload stream) of entries in any order."""
+    out, pay = io.BytesIO(), io.BytesIO() if split else None
+    w = Writer(out, pay, prelude)
+    for e in sorted(entries, key=lambda x: [p for p in x["path"].split("/") if p]):
+        w.add(e)
+    w.close()
+    return out.getvalue(), pay.getvalue() if pay else None
+
+
+class _File(InputPartition):
+    def __init__(self, path: str, payload: str | None):
+        self.path, self.payload = path, payload
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, schema, options):
+        self.names = [f.name for f in schema.fields]
+        self.paths = [p for p in options.get("path", "").split(",") if p]
+        self.payloads = [p for p in options.get("payload_path", "").split(",") if p]
+
+    def partitions(self):
+        return [_File(p, self.payloads[k] if k < len(self.payloads) else None) for k, p in enumerate(self.paths)]
+
+    def read(self, partition):
+        want = "content" in self.names
+        with open(partition.path, "rb") as f:
+            pay = open(partition.payload, "rb") if partition.payload else None  # noqa: SIM115
+            try:
+                for e in read(f, pay, want):
+                    yield tuple(e.get(n) for n in self.names)
+            finally:
+                if pay:
+                    pay.close()
+
+
+class ArchiveSource(DataSource):
+    """spark.read.format("archive").option("path", ...): one partition for each archive; a schema without content never reads file bytes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "archive"
+
+    def schema(self):
+        return ENTRIES
+
+    def reader(self, schema):
+        return _Reader(schema, self.options)
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(ArchiveSource)
+
+
+def archives(entries: DataFrame, key: str, split: bool = False) -> DataFrame:
+    """An archive for each value of a column of entries: key, archive, payload. Entries of one archive meet in one task."""
+    fields = [f for f in entries.columns if f != key]
+
+    def run(k: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        main, pay = encode(rows.select(fields).to_pylist(), split)
+        return pa.table({key: pa.array([k[0].as_py()], pa.string()), "archive": pa.array([main], pa.large_binary()), "payload": pa.array([pay], pa.large_binary())}).cast(pa.schema([(key, pa.string()), ("archive", pa.binary()), ("payload", pa.binary())]))
+
+    return entries.groupBy(key).applyInArrow(run, f"{key} string, archive binary, payload binary")
+
+
+def entries_of(archive_rows: DataFrame, key: str, content: bool = True) -> DataFrame:
+    """Entry rows of archives (key, archive, payload)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = _parse_datatype_string(f"{key} string, {ENTRIES}")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                pay = io.BytesIO(row["payload"]) if row["payload"] else None
+                rows = [{key: row[key], **e} for e in read(io.BytesIO(row["archive"]), pay, content)]
+                for k in range(0, len(rows), 1000):
+                    yield pa.RecordBatch.from_pylist(rows[k : k + 1000], schema=arrow)
+
+    return archive_rows.select(key, "archive", "payload").mapInArrow(run, schema)
