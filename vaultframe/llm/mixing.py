@@ -151,7 +151,7 @@ def slots_of(spark, plan: Plan, shard_slots: int) -> DataFrame:
     shards = -(-total // shard_slots)
     each = -(-shards // max(1, min(1024, shards, (1 << 22) // max(1, len(slots)))))
     groups, left, begun, rng = [], slots.copy(), np.zeros(len(slots), np.int64), np.random.default_rng([plan.seed, 0])
-    for first in range(0, shards, each):
+    for first in range(0, shards, max(1, each)):
         n = min(each * shard_slots, total - first * shard_slots)
         drawn = _draw(rng, n, left)
         groups.append((first, n, drawn, begun.copy()))
@@ -160,9 +160,9 @@ def slots_of(spark, plan: Plan, shard_slots: int) -> DataFrame:
     return spark.range(0, len(groups), 1, parts).mapInArrow(_dealt(plan, slots, spare, shard_slots, groups), _SLOTS)
 
 
-def measured(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size in words, and the columns to keep."""
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep)
+def measured(df: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, source, size in words, a hash of the text for ties and, if asked for, the whole row as a struct."""
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col("text").cast("string")).alias("tie"), *([F.struct(*(F.col(c) for c in df.columns)).alias("row")] if whole else []))
 
 
 def planned(sized: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, block: int = 64, seed: int = 17) -> tuple[Plan, int]:
@@ -176,7 +176,7 @@ def planned(sized: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     return Plan([r.source for r in rows], np.array(sizes, np.int64), np.array(goal, np.float64), block, seed), sum(r.docs for r in rows)
 
 
-def placed(sized: DataFrame, plan: Plan, docs: int, keep: tuple[str, ...] = ()) -> DataFrame:
+def placed(sized: DataFrame, plan: Plan, docs: int) -> DataFrame:
     """Measured documents with source_no, bucket and rank (which name a row), source_size, target, and the word of their source's stream at which they start."""
     spark = sized.sparkSession
     names = spark.createDataFrame([(s, k, int(plan.sizes[k]), float(plan.targets[k])) for k, s in enumerate(plan.sources)], "name string, source_no int, source_size long, target double")
@@ -185,7 +185,7 @@ def placed(sized: DataFrame, plan: Plan, docs: int, keep: tuple[str, ...] = ())
     rows = sized.join(names, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)).cast("int"))
     sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.select("source_no", "bucket", (F.sum("n").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("n")).alias("base"))
-    order = Window.partitionBy("source_no", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "size", *keep)
+    order = Window.partitionBy("source_no", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "size", "tie")
     rows = rows.withColumns({"rank": F.row_number().over(order), "upto": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))})
     return rows.join(sums, ["source_no", "bucket"]).withColumn("start", F.col("base") + F.col("upto") - F.col("size")).drop("base", "upto")
 
@@ -224,20 +224,18 @@ def _part(text: str, runs: list[tuple[int, int]]) -> str:
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t if len(r) == 1 and r[0]["n"] == size else _part(t, [(x["s"], x["n"]) for x in r]) for t, r, size in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), batch.column("size").to_pylist(), strict=True)]
+        texts = [t if len(r) == 1 and r[0]["n"] == size else _part(t, [(x["s"], x["n"]) for x in r]) for t, r, size in zip(batch.column("text").to_pylist(), batch.column("__runs").to_pylist(), batch.column("__size").to_pylist(), strict=True)]
         at = batch.schema.get_field_index("text")
         yield batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type))
 
 
 def documents(df: DataFrame, **options) -> DataFrame:
     """df as its mix: one row for each document and pass that takes any of its words, with the taken words as text (the text as it is when all are taken). Documents that are not taken do not appear."""
-    keep = [c for c in df.columns if c not in ("doc_id", "source")]
-    sized = measured(df, tuple(keep))
     plan, docs = planned(measured(df), **options)
-    rows = written(placed(sized, plan, docs, tuple(keep)))
-    found = mixed(rows.drop(*keep), plan).groupBy("source_no", "bucket", "rank", "pass").agg(F.array_sort(F.collect_list(F.struct(F.col("word_start").alias("s"), F.col("words").alias("n")))).alias("runs"))
+    rows = written(placed(measured(df, whole=True), plan, docs))
+    found = mixed(rows.drop("row"), plan).groupBy("source_no", "bucket", "rank", "pass").agg(F.array_sort(F.collect_list(F.struct(F.col("word_start").alias("s"), F.col("words").alias("n")))).alias("runs"))
     step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["s"] + F.element_at(acc, -1)["n"] == x["s"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), (F.element_at(acc, -1)["n"] + x["n"]).alias("n"))))).otherwise(F.concat(acc, F.array(x)))
     found = found.withColumn("runs", F.aggregate("runs", F.slice("runs", 1, 0), step))
     got = rows.join(found, ["source_no", "bucket", "rank"])
-    got = got.select(*df.columns, "size", "runs")
+    got = got.select("row.*", F.col("size").alias("__size"), F.col("runs").alias("__runs")).withColumn("text", F.col("text").cast("string"))
     return got.mapInArrow(_parts, got.schema).select(*df.columns)
