@@ -31,7 +31,7 @@ _WORDS = re.compile(WORD)
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _LAST = (1 << 63) - 1
 _REST = 32  # bits of an anchor's hash below its slice
-_ANCHOR = np.dtype([("head", "<u4"), ("tag", "<u2")])
+_ANCHOR = np.dtype([("head", "<u4"), ("tag", "<u2"), ("shard", "<u4")])
 
 
 def _sequences(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -71,59 +71,61 @@ def _measured(window: int):
 
 
 def _sliced(window: int, phrase: int, bits: int, shards: int):
-    """Anchors by slice and shard: heads of hashes, each with a tag of its text (two tags if the text repeats it)."""
+    """Anchors by slice: heads of hashes, each with a tag of its text (two tags if the text repeats it) and its shard. A row holds those of a slice among many texts, so rows are at most as many as anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            of, anchor = np.concatenate(parts), np.concatenate(held)
+            order = np.argsort(of, kind="stable")
+            of, anchor = of[order], anchor[order]
+            at = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            to = np.append(at[1:], len(of))
+            return pa.RecordBatch.from_arrays([pa.array(of[at], pa.int32()), pa.array([anchor[a:b].tobytes() for a, b in zip(at.tolist(), to.tolist(), strict=True)], pa.binary())], ["slice", "heads"])
+
         for batch in batches:
             for part in pieces(batch, "text", 2 << 20):
                 h, offsets, _, _ = words.hashed(part.column("text"))
                 names = _sequences(h, offsets)
-                got: list[np.ndarray] = []
-                tags: list[np.ndarray] = []
-                shard: list[np.ndarray] = []
                 for k in np.flatnonzero(np.diff(offsets) >= window).tolist():
                     own = int(names[k])
                     if own in seen:
                         continue
                     seen.add(own)
                     grams, m = anchors(h[offsets[k] : offsets[k + 1]], window, phrase)
-                    used, n = np.unique(m[np.concatenate(([True], m[1:] != m[:-1]))], return_counts=True)
-                    if (n > 1).any() or len(grams):
-                        # A phrase that stands in the text again recurs, whichever of its places are anchors.
-                        kinds, times = np.unique(grams, return_counts=True)
-                        n = times[np.searchsorted(kinds, used)]
-                    tag = own & 0xFFFF
-                    got += [used, used[n > 1]]
-                    tags += [np.full(len(used), tag), np.full(int((n > 1).sum()), tag ^ 1)]
-                    shard += [np.full(len(used) + int((n > 1).sum()), own % shards)]
-                if not got:
-                    continue
-                v, tag, shard_of = np.concatenate(got) >> np.uint64(64 - bits - _REST), np.concatenate(tags), np.concatenate(shard)
-                part_of = (v >> np.uint64(_REST)).astype(np.int64)
-                order = np.lexsort((shard_of, part_of))
-                packed = np.empty(len(v), _ANCHOR)
-                packed["head"], packed["tag"] = (v & np.uint64((1 << _REST) - 1))[order], tag[order]
-                key = part_of[order] * shards + shard_of[order]
-                at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-                to = np.append(at[1:], len(key))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at] // shards, pa.int32()), pa.array(key[at] % shards, pa.int32()), pa.array([packed[a:b].tobytes() for a, b in zip(at.tolist(), to.tolist(), strict=True)], pa.binary())], ["slice", "shard", "heads"]
-                )
+                    # A phrase that stands in the text again recurs, whichever of its places are anchors.
+                    kinds, times = np.unique(grams, return_counts=True)
+                    used = np.unique(m[np.concatenate(([True], m[1:] != m[:-1]))])
+                    twice = used[times[np.searchsorted(kinds, used)] > 1]
+                    v = np.concatenate((used, twice)) >> np.uint64(64 - bits - _REST)
+                    rows = np.empty(len(v), _ANCHOR)
+                    rows["head"], rows["shard"] = v & np.uint64((1 << _REST) - 1), own % shards
+                    rows["tag"][: len(used)], rows["tag"][len(used) :] = own & 0xFFFF, own & 0xFFFF ^ 1
+                    held.append(rows)
+                    parts.append((v >> np.uint64(_REST)).astype(np.int64))
+                    size += len(v)
+                if size > 400_000:
+                    yield packed()
+                    held.clear()
+                    parts.clear()
+                    size = 0
+        if held:
+            yield packed()
 
     return run
 
 
 def _recurring(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """For each shard, the heads of its anchors that recur anywhere."""
-    parts = [np.frombuffer(b, _ANCHOR) for b in rows.column("heads").to_pylist()]
-    all_ = np.concatenate(parts)
-    shard = np.repeat(rows.column("shard").to_numpy(), [len(p) for p in parts])
-    both = np.unique(all_["head"].astype(np.uint64) << np.uint64(16) | all_["tag"].astype(np.uint64))
+    found = np.frombuffer(b"".join(rows.column("heads").to_pylist()), _ANCHOR)
+    both = np.unique(found["head"].astype(np.uint64) << np.uint64(16) | found["tag"].astype(np.uint64))
     head, n = np.unique(both >> np.uint64(16), return_counts=True)
-    often = head[n > 1]
-    held = np.isin(all_["head"], often)
-    pairs = np.unique(shard[held].astype(np.uint64) << np.uint64(32) | all_["head"][held].astype(np.uint64))
+    held = found[np.isin(found["head"], head[n > 1])]
+    pairs = np.unique(held["shard"].astype(np.uint64) << np.uint64(32) | held["head"].astype(np.uint64))
     of, heads = (pairs >> np.uint64(32)).astype(np.int64), ((pairs & np.uint64(0xFFFFFFFF)) | np.uint64(key[0].as_py()) << np.uint64(_REST))
     at = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
     to = np.append(at, len(of))[1:]
@@ -255,7 +257,7 @@ def cleaned(df: DataFrame, window: int = 20, phrase: int = 10) -> tuple[DataFram
     total = meta.agg(F.sum("n")).first()[0] or 0
     shards = max(partitions_for(df), total // 1_000_000, 1)
     bits = max(8, (total >> 22).bit_length())
-    slices = docs.mapInArrow(_sliced(window, phrase, bits, shards), "slice int, shard int, heads binary").groupBy("slice").applyInArrow(_recurring, "shard int, heads binary")
+    slices = docs.mapInArrow(_sliced(window, phrase, bits, shards), "slice int, heads binary").groupBy("slice").applyInArrow(_recurring, "shard int, heads binary")
     texts = docs.mapInArrow(_texts(window, shards), "shard int, sequence long, doc_id long, text string")
     found = texts.groupBy("shard").cogroup(slices.groupBy("shard")).applyInArrow(_located(window, phrase, bits), "sequence long, doc_id long, words string, starts binary, hashes binary")
     found = written(found)
