@@ -3,7 +3,7 @@
 Each of `tables` pseudo-rotations (three rounds of random signs and a fast Hadamard transform, over the next power of
 two of the dimension) assigns a unit vector to the nearest signed axis. A vector is indexed once in each table; a query
 looks into the buckets of the `probes` signed axes nearest to it, and all that lies there is ranked by exact cosine
-in double precision. Buckets are cut into parts of about `part` vectors, so that none is too large for a task.
+in double precision. Buckets are cut into parts of about `part` vectors and `part` queries, so that none is too large for a task.
 
 Null and zero vectors, and those with null or non-finite components, take no part; vectors meet only vectors of their
 dimension. Rows with null ids take no part. Repeated vectors tie, and smaller ids come first; a repeated id counts once
@@ -96,10 +96,8 @@ def search(df: DataFrame, query: Column, tables: int = 10, probes: int = 8, part
     data = reps.select("id", "ids", "dim", scaled.alias("vec")).mapInArrow(_hashed(tables, 1, seed), f"id long, ids array<bigint>, {kind}")
     probe = once.select("id", "dim", scaled.alias("vec")).mapInArrow(_hashed(tables, probes, seed), f"id long, {kind}")
     keys = ["bucket_table", "code", "dim"]
-    counts = {r.dim: r.n for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row for each dimension
-    cuts = F.coalesce(*(F.when(F.col("dim") == d, max(1, -(-n // (2 * d * part)))) for d, n in counts.items()), F.lit(1))
-    data = data.withColumn("cut", F.pmod(F.xxhash64("id"), cuts).cast("int"))
-    probe = probe.withColumn("cut", F.explode(F.sequence(F.lit(0), cuts - 1)))
-    keys += ["cut"]
+    cuts, own_cuts = vectors.by_dimension(reps, 1, part, scale=2), vectors.by_dimension(once, probes, part, scale=2)
+    probe, data = vectors.blocks(probe, data, cuts, own_cuts)
+    keys += ["cut", "asked_cut"]
     found = probe.groupBy(keys).cogroup(data.groupBy(keys)).applyInArrow(_ranked, vectors.FOUND.format("double"))
     return vectors.answers(found, names)

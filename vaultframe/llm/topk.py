@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultframe.llm import vectors
@@ -95,11 +95,15 @@ def search(df: DataFrame, query: Column, pivots: int = 32, block: int = 4096, ve
     rows = rows.filter(F.size("real") > 0).select("vec_id", F.transform("real", lambda x: F.floor(x * 256).cast("long")).alias("vec"))
     reps = written(vectors.distinct(rows))
     once, names = vectors.asked(rows, reps, query)
-    counts = {r.dim: r.n for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row for each dimension
-    chosen = {d: np.array([r.vec for r in reps.filter(F.col("dim") == d).orderBy(F.xxhash64("id")).limit(pivots).collect()], np.float64) for d in counts}
-    cuts = F.coalesce(*(F.when(F.col("dim") == d, max(1, -(-n // block))) for d, n in counts.items()), F.lit(1))
-    kind = "dim int, vec array<bigint>, cut int, away array<double>"
-    data = reps.select("id", "ids", "dim", "vec", F.pmod(F.xxhash64("id"), cuts).cast("int").alias("cut")).mapInArrow(_table(chosen), f"id long, ids array<bigint>, {kind}")
-    asked = once.select("id", "dim", "vec", F.lit(0).alias("cut")).mapInArrow(_table(chosen), f"id long, {kind}").withColumn("cut", F.explode(F.sequence(F.lit(0), cuts - 1)))
-    found = asked.groupBy("cut", "dim").cogroup(data.groupBy("cut", "dim")).applyInArrow(_searched, vectors.FOUND.format("long"))
+    hashed = reps.withColumn("k", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id"))).filter(F.col("k") <= pivots)
+    chosen: dict[int, list] = {}
+    for r in hashed.select("dim", "vec", "k").orderBy("dim", "k").collect():  # `pivots` rows for each dimension
+        chosen.setdefault(r.dim, []).append(r.vec)
+    table = {d: np.array(v, np.float64) for d, v in chosen.items()}
+    kind = "dim int, vec array<bigint>, away array<double>"
+    data = reps.select("id", "ids", "dim", "vec").mapInArrow(_table(table), f"id long, ids array<bigint>, {kind}")
+    asked = once.select("id", "dim", "vec").mapInArrow(_table(table), f"id long, {kind}")
+    asked, data = vectors.blocks(asked, data, vectors.by_dimension(reps, 1, block), vectors.by_dimension(once, 1, block))
+    keys = ["cut", "dim", "asked_cut"]
+    found = asked.groupBy(keys).cogroup(data.groupBy(keys)).applyInArrow(_searched, vectors.FOUND.format("long"))
     return vectors.answers(found, names)

@@ -6,6 +6,8 @@ have it, which is all that ties to smaller ids can ask for. Queries that are equ
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +33,21 @@ def asked(vectors: DataFrame, all_distinct: DataFrame, query: Column) -> tuple[D
     return once, names
 
 
+def by_dimension(df: DataFrame, per: float, most: int, scale: int = 0) -> tuple[Column, int]:
+    """(parts for each dimension so that none has much over `most` rows, the largest number of parts). A row counts `per` times, divided, with a scale, by as many buckets as scale times the dimension."""
+    counts = {r.dim: r.n for r in df.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row for each dimension
+    parts = {d: max(1, math.ceil(n * per / (scale * d or 1) / most)) for d, n in counts.items()}
+    return F.coalesce(*(F.when(F.col("dim") == d, k) for d, k in parts.items()), F.lit(1)).cast("int"), max(parts.values(), default=1)
+
+
+def blocks(asked: DataFrame, data: DataFrame, cuts: tuple[Column, int], own_cuts: tuple[Column, int]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the key (cut, asked_cut) of blocks: each part of the queries meets each part of the data, and no block is large on either side."""
+    data = data.withColumn("cut", F.pmod(F.xxhash64("id"), cuts[0]).cast("int"))
+    asked = asked.withColumn("asked_cut", F.pmod(F.xxhash64("id"), own_cuts[0]).cast("int"))
+    asked = asked.withColumn("cut", F.explode(F.sequence(F.lit(0), cuts[0] - 1)) if cuts[1] > 1 else F.lit(0))
+    return asked, data.withColumn("asked_cut", F.explode(F.sequence(F.lit(0), own_cuts[0] - 1)) if own_cuts[1] > 1 else F.lit(0))
+
+
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), dim)
