@@ -13,8 +13,8 @@ if neither x nor y has enough rare tokens they share a rare token or a bucket, o
 keeps one of its e + 1 tokens in the other's prefix.
 
 Keys that few nodes share give their pairs. Keys of many nodes (groups of near copies) are compared within blocks of
-nodes, and only pairs of different components are named: first a few for each two components, and, once those that
-link are merged, all that are left. A lower bound of the difference, from counts of tokens by hash cell, drops
+nodes, and only pairs of different components are named: first no more than would join all that may link, and, once
+those that do are merged, all that are left. A lower bound of the difference, from counts of tokens by hash cell, drops
 pairs that cannot link; all others are verified with their whole sets.
 
 Texts that are null or have no words have no shingles and link with nothing, not even each other. Rows of equal doc_id
@@ -75,19 +75,22 @@ def missing(n: int, num: int, den: int) -> int:
 
 
 class Levels:
-    """Size classes such that linked sets are in the same or in neighbouring ones, and the buckets for each."""
+    """Size classes, each half as wide again as the one before, and the buckets for each. Linked sets meet in the class of the larger one, so a set is in its own class and in that of its largest partner."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.bounds = num, den, [1]
 
-    def of(self, n: int) -> int:
+    def _at(self, n: int) -> int:
         while self.bounds[-1] <= n:
-            self.bounds.append(self.bounds[-1] * self.den // self.num + 1)
+            last = self.bounds[-1]
+            self.bounds.append(max(last * 3 // 2, last * self.den // self.num) + 1)
         return int(np.searchsorted(self.bounds, n, "right")) - 1
 
+    def of(self, n: int) -> list[int]:
+        return sorted({self._at(n), self._at(n * self.den // self.num)})
+
     def buckets(self, level: int) -> int:
-        while len(self.bounds) < level + 2:
-            self.bounds.append(self.bounds[-1] * self.den // self.num + 1)
+        """One more than the tokens by which linked sets of sizes within the class can differ."""
         return (self.den - self.num) * 2 * (self.bounds[level + 1] - 1) // (self.den + self.num) + 1
 
 
@@ -98,8 +101,8 @@ def keys(s: np.ndarray, frequent: np.ndarray, num: int, den: int, levels: Levels
     if len(rare) > e:
         return rare[: e + 1]
     out, often = [rare], s[frequent]
-    level, spread = levels.of(len(s)), words.mix(often ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    for at in (level, level + 1):
+    spread = words.mix(often ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    for at in levels.of(len(s)):
         b = levels.buckets(at)
         total = np.zeros(b, np.uint64)
         np.add.at(total, (spread % np.uint64(b)).astype(np.int64), words.mix(often))
@@ -243,20 +246,20 @@ def _linked(num: int, den: int):
     return linked
 
 
-def _compared(num: int, den: int, each: int | None):
-    """Pairs of a block, or of two blocks, that may link and are of different components; at most `each` for two components where that is set."""
+def _compared(num: int, den: int, turn: int | None):
+    """Pairs of a block, or of two blocks, that may link and are of different components. With a turn, as if all that may link did: only pairs that join what is still apart, fewer than nodes; each turn takes others first."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         n = rows.column("n").to_numpy()
         order = np.lexsort((rows.column("node").to_numpy(), n))
         n, node, comp, part = n[order], *(rows.column(c).to_numpy()[order] for c in ("node", "component", "part"))
+        comp = comp.copy()
         h = np.frombuffer(b"".join(rows.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)[order]
         small, h = h.reshape(-1, 16, CELLS // 16).sum(2, dtype=np.int16), h.astype(np.int16)
         apart = key[1].as_py() != key[2].as_py()
         until = np.searchsorted(n, den * n // num, "right")
         pairs: list[tuple[int, int]] = []
-        used: dict[tuple[int, int], int] = {}
-        for i in range(len(n)):
+        for i in np.random.default_rng(turn).permutation(len(n)) if turn else range(len(n)):
             at = np.arange(i + 1, until[i])
             at = at[comp[at] != comp[i]]
             if apart:
@@ -266,11 +269,10 @@ def _compared(num: int, den: int, each: int | None):
             at, most = at[ok], most[ok]
             at = at[np.abs(h[at] - h[i]).sum(1) <= most]
             for j in at.tolist():
-                if each is not None:
-                    two = (min(comp[i], comp[j]), max(comp[i], comp[j]))
-                    if used.get(two, 0) >= each:
+                if turn is not None:
+                    if comp[i] == comp[j]:
                         continue
-                    used[two] = used.get(two, 0) + 1
+                    comp[comp == comp[j]] = comp[i]
                 pairs.append((min(node[i], node[j]), max(node[i], node[j])))
         return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
@@ -289,7 +291,8 @@ class Join:
         self.docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         #: One row for each document: doc_id, n, node (null without shingles), cells.
         self.nodes = written(self.docs.mapInArrow(_nodes(k), "doc_id long, n long, node long, cells binary"))
-        self.links = self._links()
+        #: (node, component) of the nodes that link with another.
+        self.components = self._components()
 
     def _size_fits(self, small: Column, large: Column) -> Column:
         return self.num * large <= self.den * small
@@ -308,7 +311,7 @@ class Join:
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
         return written(both.filter(linked("x", "y")).select("a", "b"))
 
-    def _links(self) -> DataFrame:
+    def _components(self) -> DataFrame:
         known = self.nodes.filter("node is not null")
         self.first = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
         self.sketches = known.select("node", "n", "cells").dropDuplicates(["node"])
@@ -324,39 +327,41 @@ class Join:
         pairs = lists.select(F.explode(F.flatten(F.transform("l", after))).alias("p")).select("p.*")
         many = postings.filter(F.col("c") > FEW).distinct()
         crowded = not many.isEmpty()
-        links = self._verified(pairs)
+        comps = written(components(self._verified(pairs)))
         if not crowded:
-            return links
+            return comps
         many = written(many.withColumn("cuts", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), "cuts").cast("int")))
-        for each in (1, 3, None):
-            found = self._crowds(many, components(links), each)
-            if self.tested is not None:
-                found = found.join(self.tested, ["a", "b"], "left_anti")
+        for turn in (0, 1, None):
+            many = self._open(many, comps)
+            found = self._crowds(many, turn).join(self.tested, ["a", "b"], "left_anti")
             found = written(found)
             if not found.isEmpty():
-                links = written(links.union(self._verified(found)))
-            elif each is not None:
-                continue
-        return links
+                # What is merged is as many links as it has nodes, however many were found.
+                stars = comps.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+                comps = written(components(stars.union(self._verified(found))))
+        return comps
+
+    def _open(self, many: DataFrame, comps: DataFrame) -> DataFrame:
+        """Of (key, node, ...) the keys whose nodes are of different components, with these."""
+        held = many.drop("component").join(comps.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("component", "node")).drop("of")
+        held = written(held)
+        open_keys = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+        return written(held.join(open_keys, "key", "left_semi"))
 
-    def _crowds(self, many: DataFrame, comps: DataFrame, each: int | None) -> DataFrame:
+    def _crowds(self, many: DataFrame, turn: int | None) -> DataFrame:
         """Pairs (a, b) of different components from keys of many nodes."""
-        held = many.join(comps.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("component", "node")).drop("of")
-        open_keys = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        held = held.join(open_keys, "key").join(self.sketches.select("node", "cells"), "node")
+        held = many.join(self.sketches.select("node", "cells"), "node")
         two = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
         held = held.select("key", "node", "n", "component", "part", "cells", F.explode(two).alias("b"))
-        return held.select("key", "b.i", "b.j", "node", "n", "component", "part", "cells").groupBy("key", "i", "j").applyInArrow(_compared(self.num, self.den, each), "a long, b long").distinct()
+        return held.select("key", "b.i", "b.j", "node", "n", "component", "part", "cells").groupBy("key", "i", "j").applyInArrow(_compared(self.num, self.den, turn), "a long, b long").distinct()
 
     def classes(self) -> DataFrame:
-        """doc_id, n_shingles, component_id, n_links (distinct other sets linked) of every document."""
-        comps = components(self.links)
-        least = self.first.join(comps, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        of = comps.join(least, "component").select("node", "component_id")
-        ends = self.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-        info = self.first.join(of, "node", "left").join(ends, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+        """doc_id, n_shingles, component_id of every document."""
+        least = self.first.join(self.components, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        of = self.components.join(least, "component").select("node", "component_id")
+        info = self.first.join(of, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
         out = self.nodes.select("doc_id", F.col("n").alias("n_shingles"), "node").join(info, "node", "left")
-        return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def classes(df: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -374,8 +379,7 @@ def _named(k: int):
 def keep_one(df: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """df with one row of each group: that of the smallest doc_id, one of equal rows. Rows without shingles all stay. doc_id must not be null where there is text."""
     join = Join(df, k, num, den)
-    comps = components(join.links)
-    group = join.first.join(comps, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    group = join.first.join(join.components, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     kept = written(group.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("x")).select(F.col("x.doc_id").alias("__doc"), F.col("x.node").alias("__kept")))
     schema = df.withColumn("text", F.col("text").cast("string")).withColumn("__node", F.lit(0).cast("long")).schema
     for field in schema.fields:
