@@ -297,6 +297,19 @@ def test_repeats(spark):
     assert repeats.digest(empty(spark)).collect() == []
 
 
+def test_repeats_of_texts_with_like_hashes(spark):
+    passage, first = " ".join(f"p{k}" for k in range(25)), {}
+    for k in range(5000):
+        text = f"{passage} x{k}"
+        h, offsets, _, _ = words.hashed(pa.array([text]))
+        other = first.setdefault(int(repeats._sequences(h, offsets)[0]) & 0xFFFF, text)
+        if other != text:
+            break
+    rows = [(1, other, "s"), (2, text, "s")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in repeats.digest(docs(spark, rows)).collect())
+    assert got == plain_repeats(rows, 20) and got[1][2] == 25
+
+
 # 8
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -10,7 +10,7 @@ earliest (doc_id, start) of all that are equal, and a window that is not its ear
 Texts of the same words are dealt with once: all but the first lose every word if they have a window at all. Null and
 empty texts have no words; texts shorter than a window keep all. Rows of equal doc_id: their copies of one text remove
 nothing of each other, and other texts of the same doc_id are ordered by a hash of their words; null doc_ids come last.
-An empty table gives no rows. Other columns are ignored. Hashes of windows have 64 bits.
+An empty table gives no rows. Other columns are ignored. Hashes of windows and of texts have 64 bits.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ _WORDS = re.compile(WORD)
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _LAST = (1 << 63) - 1
 _REST = 32  # bits of an anchor's hash below its slice
-_ANCHOR = np.dtype([("head", "<u4"), ("tag", "<u2"), ("shard", "<u4")])
+_ANCHOR = np.dtype([("head", "<u4"), ("sequence", "<u8"), ("twice", "?")])
 
 
 def _sequences(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -70,8 +70,8 @@ def _measured(window: int):
     return run
 
 
-def _sliced(window: int, phrase: int, bits: int, shards: int):
-    """Anchors by slice: heads of hashes, each with a tag of its text (two tags if the text repeats it) and its shard. A row holds those of a slice among many texts, so rows are at most as many as anchors."""
+def _sliced(window: int, phrase: int, bits: int):
+    """Anchors by slice: heads of hashes, each with the sequence hash of its text and whether the text repeats it. A row holds those of a slice among many texts, so rows are at most as many as anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -100,11 +100,9 @@ def _sliced(window: int, phrase: int, bits: int, shards: int):
                     # A phrase that stands in the text again recurs, whichever of its places are anchors.
                     kinds, times = np.unique(grams, return_counts=True)
                     used = np.unique(m[np.concatenate(([True], m[1:] != m[:-1]))])
-                    twice = used[times[np.searchsorted(kinds, used)] > 1]
-                    v = np.concatenate((used, twice)) >> np.uint64(64 - bits - _REST)
+                    v = used >> np.uint64(64 - bits - _REST)
                     rows = np.empty(len(v), _ANCHOR)
-                    rows["head"], rows["shard"] = v & np.uint64((1 << _REST) - 1), own % shards
-                    rows["tag"][: len(used)], rows["tag"][len(used) :] = own & 0xFFFF, own & 0xFFFF ^ 1
+                    rows["head"], rows["sequence"], rows["twice"] = v & np.uint64((1 << _REST) - 1), own, times[np.searchsorted(kinds, used)] > 1
                     held.append(rows)
                     parts.append((v >> np.uint64(_REST)).astype(np.int64))
                     size += len(v)
@@ -119,17 +117,23 @@ def _sliced(window: int, phrase: int, bits: int, shards: int):
     return run
 
 
-def _recurring(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """For each shard, the heads of its anchors that recur anywhere."""
-    found = np.frombuffer(b"".join(rows.column("heads").to_pylist()), _ANCHOR)
-    both = np.unique(found["head"].astype(np.uint64) << np.uint64(16) | found["tag"].astype(np.uint64))
-    head, n = np.unique(both >> np.uint64(16), return_counts=True)
-    held = found[np.isin(found["head"], head[n > 1])]
-    pairs = np.unique(held["shard"].astype(np.uint64) << np.uint64(32) | held["head"].astype(np.uint64))
-    of, heads = (pairs >> np.uint64(32)).astype(np.int64), ((pairs & np.uint64(0xFFFFFFFF)) | np.uint64(key[0].as_py()) << np.uint64(_REST))
-    at = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
-    to = np.append(at, len(of))[1:]
-    return pa.table([pa.array(of[at], pa.int32()), pa.array([heads[a:b].tobytes() for a, b in zip(at.tolist(), to.tolist(), strict=True)], pa.binary())], ["shard", "heads"])
+def _recurring(shards: int):
+    """For each shard, the heads of its anchors that recur anywhere: two texts hold them, told apart by all 64 bits of their sequence hashes, or one repeats them."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        found = np.frombuffer(b"".join(rows.column("heads").to_pylist()), _ANCHOR)
+        found = found[np.argsort(found["head"], kind="stable")]
+        first = np.flatnonzero(np.concatenate(([True], found["head"][1:] != found["head"][:-1])))
+        names = np.ascontiguousarray(found["sequence"])
+        recurs = (np.minimum.reduceat(names, first) != np.maximum.reduceat(names, first)) | np.logical_or.reduceat(found["twice"], first)
+        held = found[np.repeat(recurs, np.diff(np.append(first, len(found))))]
+        pairs = np.unique(held["sequence"] % np.uint64(shards) << np.uint64(32) | held["head"].astype(np.uint64))
+        of, heads = (pairs >> np.uint64(32)).astype(np.int64), ((pairs & np.uint64(0xFFFFFFFF)) | np.uint64(key[0].as_py()) << np.uint64(_REST))
+        at = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
+        to = np.append(at, len(of))[1:]
+        return pa.table([pa.array(of[at], pa.int32()), pa.array([heads[a:b].tobytes() for a, b in zip(at.tolist(), to.tolist(), strict=True)], pa.binary())], ["shard", "heads"])
+
+    return run
 
 
 def _texts(window: int, shards: int):
@@ -257,7 +261,7 @@ def cleaned(df: DataFrame, window: int = 20, phrase: int = 10) -> tuple[DataFram
     total = meta.agg(F.sum("n")).first()[0] or 0
     shards = max(partitions_for(df), total // 1_000_000, 1)
     bits = max(8, (total >> 22).bit_length())
-    slices = docs.mapInArrow(_sliced(window, phrase, bits, shards), "slice int, heads binary").groupBy("slice").applyInArrow(_recurring, "shard int, heads binary")
+    slices = docs.mapInArrow(_sliced(window, phrase, bits), "slice int, heads binary").groupBy("slice").applyInArrow(_recurring(shards), "shard int, heads binary")
     texts = docs.mapInArrow(_texts(window, shards), "shard int, sequence long, doc_id long, text string")
     found = texts.groupBy("shard").cogroup(slices.groupBy("shard")).applyInArrow(_located(window, phrase, bits), "sequence long, doc_id long, words string, starts binary, hashes binary")
     found = written(found)
