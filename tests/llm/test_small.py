@@ -362,6 +362,18 @@ def test_html(page, want):
     assert got == want or got == want + "\n<"
 
 
+def test_html_scores_decide_beside_articles():
+    body = "".join(f"<p>Paragraph {k} says a thing, and then another. It goes on for a while.</p>" for k in range(12))
+    cards = "".join(f"<article><a href=/{k}>Card {k}</a></article>" for k in range(4))
+    got = html.main_text(f"<body><div class=story>{body}</div>{cards}")
+    assert got.count("Paragraph") == 12 and "Card" not in got
+    plain = "<article>A teaser, in short.</article>"
+    assert html.main_text(f"<body><div class=story>{body}</div>{plain}").count("Paragraph") == 12
+    links = "".join(f"<li><a href=/{k}>Link {k}</a></li>" for k in range(6))
+    got = html.main_text(f"<body><article>{body}<ul>{links}</ul></article><div>Outside, of it.</div>")
+    assert got.count("Paragraph") == 12 and "Link" not in got and "Outside" not in got
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "<p>x", "t"), (1, "<p>x", "t"), (2, None, "t"), (3, "<div>" * 3000 + "deep", "t")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in html.extract(df).collect()) == [(1, "x"), (1, "x"), (2, ""), (3, "deep")]

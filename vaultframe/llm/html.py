@@ -2,9 +2,10 @@
 
 A page is read as a stream of tags into blocks of text, each under a root-to-leaf path of tags (with class and id).
 Text length, punctuation and linked length are summed for each path; the ratios of text and punctuation to the path's
-blocks are smoothed with those of the paths that share its parent, fused into one score, and compared with a share of
-the page's best. Paths inside article or main elements pass, if the page has any, and others then do not; paths below
-menus, headers, footers, sidebars, notices, adverts, forms and comments never do. Selected blocks keep the page's order.
+blocks are added, smoothed with those of the paths that share its parent, lowered by the share of text in links, and
+compared with a share of the page's best. Where the page has article or main elements, paths outside are lowered by a
+bounded factor: the more, the more of the text lies inside. Paths below menus, headers, footers, sidebars, notices,
+adverts, forms and comments never pass. Selected blocks keep the page's order.
 
 Null and empty pages give an empty text. Repeated rows are extracted each; a column named as the output is replaced.
 Unclosed, misnested and cut-off markup is read as far as it goes; time and memory are linear in the page.
@@ -35,7 +36,7 @@ MARKS = frozenset(
 )
 #: Those that mark even an article.
 ARTICLE_MARKS = frozenset("comment comments reply replies ad ads advert advertisement promo sponsored related teaser".split())
-MAIN = frozenset(("article", "main"))
+MAIN = {"article": 1, "main": 2}
 #: Elements that a start tag closes when they are open, up to an element that holds them.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 HOLDS_P = frozenset("article aside blockquote body button center dd div dl fieldset figure footer form header li main nav section table td th ul ol".split())
@@ -43,6 +44,8 @@ _INLINE_BLOCK = BLOCK - {"br", "html", "head", "body", "option", "tr", "td", "th
 
 #: Of the page's best score, the share that a path must reach.
 CUT = 0.15
+#: The least factor of paths outside of article and main elements.
+OUTSIDE = 0.05
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.I)
@@ -59,10 +62,10 @@ def _names(attributes: str, tag: str) -> tuple[str, bool]:
     return "".join(f"{'#' if k == 'id' else '.'}{v}" for k, v in found), not (ARTICLE_MARKS if tag in MAIN else MARKS).isdisjoint(marks) or bool(_HIDDEN.search(attributes))
 
 
-def blocks(html: str) -> list[tuple[str, bool, bool, str, int]]:
-    """(path, apart, in article or main, text, linked length) of every block, in page order."""
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, apart, main
-    out: list[tuple[str, bool, bool, str, int]] = []
+def blocks(html: str) -> list[tuple[str, bool, int, str, int]]:
+    """(path, apart, 1 in an article and 2 in a main element, text, linked length) of every block, in page order."""
+    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, path, apart, main
+    out: list[tuple[str, bool, int, str, int]] = []
     buffer: list[str] = []
     place = stack[0]
     linked = at = 0
@@ -138,14 +141,27 @@ def blocks(html: str) -> list[tuple[str, bool, bool, str, int]]:
                 at = html.find(">", at) + 1 or end
             continue
         if not attributes.rstrip().endswith("/") or tag in BLOCK:
-            stack.append((tag, f"{above[1]}/{tag}{name}", apart, above[3] or tag in MAIN))
+            stack.append((tag, f"{above[1]}/{tag}{name}", apart, max(above[3], MAIN.get(tag, 0))))
     flush()
     return out
 
 
-def selected(found: list[tuple[str, bool, bool, str, int]]) -> list[str]:
+def _outside(found: list[tuple[str, bool, int, str, int]]) -> float:
+    """The factor of paths outside of article and main elements: 1 on pages without text in any. A page has one main element, so that little text in it says more than in an article."""
+    total = main = article = 0
+    for _, apart, inside, text, _ in found:
+        if not apart:
+            total += len(text)
+            if inside == 2:
+                main += len(text)
+            elif inside:
+                article += len(text)
+    return max(OUTSIDE, ((1 - (main / total) ** 0.125) * (1 - article / total)) ** 2) if main or article else 1.0
+
+
+def selected(found: list[tuple[str, bool, int, str, int]]) -> list[str]:
     """Texts of the blocks whose path is content."""
-    inside = any(main and not apart for _, apart, main, _, _ in found)
+    outside = _outside(found)
     sums: dict[str, list[float]] = {}
     for path, apart, main, text, linked in found:
         if not apart:
@@ -154,14 +170,13 @@ def selected(found: list[tuple[str, bool, bool, str, int]]) -> list[str]:
             s[1] += len(text)
             s[2] += len(_PUNCTUATION.findall(text))
             s[3] += min(linked, len(text))
-    ratio = {p: log1p(n / k) * log1p(marks / k) * (1 - links / n) for p, (k, n, marks, links, _) in sums.items()}
+    ratio = {p: log1p(n / k) + log1p(marks / k) for p, (k, n, marks, _, _) in sums.items()}
     by_parent: dict[str, list[float]] = {}
     for p, r in ratio.items():
         by_parent.setdefault(p.rpartition("/")[0], []).append(r)
-    smooth = {p: (2 * r + sum(x := by_parent[p.rpartition("/")[0]]) / len(x)) / 3 for p, r in ratio.items()}
-    best = max(smooth.values(), default=0)
-    # The fused score: being in the page's article lifts a path to the best, being beside it brings it to nothing.
-    fused = {p: (best if sums[p][4] else -1) if inside else s for p, s in smooth.items()}
+    means = {p: sum(x) / len(x) for p, x in by_parent.items()}
+    fused = {p: (2 * r + means[p.rpartition("/")[0]]) / 3 * (1 - sums[p][3] / sums[p][1]) * (1 if sums[p][4] else outside) for p, r in ratio.items()}
+    best = max(fused.values(), default=0)
     return [text for path, apart, _, text, _ in found if not apart and fused[path] >= CUT * best]
 
 
