@@ -374,6 +374,23 @@ def test_html_scores_decide_beside_articles():
     assert got.count("Paragraph") == 12 and "Link" not in got and "Outside" not in got
 
 
+def test_html_headings_and_cells():
+    p = "".join(f"<p>Paragraph {k} says a thing, and then another. It goes on for a while, too.</p>" for k in range(4))
+    row = "".join(f"<tr><td>{k}</td><td>{k + 1}</td></tr>" for k in range(3))
+    got = html.main_text(f"<body><nav>menu</nav><div id=x><h1>A title</h1><h2>So</h2>{p}<ul><li>a</li><li><b>b</b></li></ul><table>{row}</table></div><ul><li><a href=x>All</a></li></ul><footer>f</footer>")
+    assert got.split("\n")[:2] == ["A title", "So"] and got.endswith("too.\na\nb\n0\n1\n1\n2\n2\n3")
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "elementor-widget-wrap", "w-1/2 no-comments"])
+def test_html_marked_wrappers(name):
+    p = "".join(f"<p>Paragraph {k} says a thing, and then another.</p>" for k in range(4))
+    want = "\n".join(f"Paragraph {k} says a thing, and then another." for k in range(4))
+    rest = "<div class=sidebar>Aside, of it.</div><div class=comments><p>Nice, one.</p></div>"
+    assert html.main_text(f"<body><div class='{name}'><article>{p}</article>{rest}</div>") == want
+    assert html.main_text(f"<body><div class='{name}'><div class=inner>{p}</div></div><nav>m</nav>") == want
+    assert html.main_text(f"<body><article>{p}</article><div class=comments>{p}{p}</div>") == want
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "<p>x", "t"), (1, "<p>x", "t"), (2, None, "t"), (3, "<div>" * 3000 + "deep", "t")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in html.extract(df).collect()) == [(1, "x"), (1, "x"), (2, ""), (3, "deep")]

@@ -3,9 +3,12 @@
 A page is read as a stream of tags into blocks of text, each under a root-to-leaf path of tags (with class and id).
 Text length, punctuation and linked length are summed for each path; the ratios of text and punctuation to the path's
 blocks are added, smoothed with those of the paths that share its parent, lowered by the share of text in links, and
-compared with a share of the page's best. Where the page has article or main elements, paths outside are lowered by a
+compared with a share of the page's best. Headings, list items and cells next to selected blocks, or between them, pass
+as well, unless they are mostly links. Where the page has article or main elements, paths outside are lowered by a
 bounded factor: the more, the more of the text lies inside. Paths below menus, headers, footers, sidebars, notices,
-adverts, forms and comments never pass. Selected blocks keep the page's order.
+adverts, forms and comments never pass. A word of class, id or role marks an element as one of these only if the element
+is no wrapper: if it does not hold the page's largest article or main element, nor most of the page's text.
+Selected blocks keep the page's order.
 
 Null and empty pages give an empty text. Repeated rows are extracted each; a column named as the output is replaced.
 Unclosed, misnested and cut-off markup is read as far as it goes; time and memory are linear in the page.
@@ -37,6 +40,12 @@ MARKS = frozenset(
 #: Those that mark even an article.
 ARTICLE_MARKS = frozenset("comment comments reply replies ad ads advert advertisement promo sponsored related teaser".split())
 MAIN = {"article": 1, "main": 2}
+#: Words of comments, which can be longer than what they comment on.
+COMMENT_MARKS = frozenset("comment comments disqus respond reply replies".split())
+#: Share of the page's text that a marked element must hold to be a wrapper of main text, likewise one marked by words of comments; and how many times the text of the largest article, if that is outside.
+WRAPPER, COMMENT_WRAPPER, TIMES_ARTICLE = 0.5, 0.9, 4
+#: Elements whose blocks pass beside selected ones.
+BESIDE = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption summary".split())
 #: Elements that a start tag closes when they are open, up to an element that holds them.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 HOLDS_P = frozenset("article aside blockquote body button center dd div dl fieldset figure footer form header li main nav section table td th ul ol".split())
@@ -49,23 +58,49 @@ OUTSIDE = 0.05
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.I)
+_TAG_OF = re.compile(r"[^.#]*")
 _PARTS = re.compile(r"[A-Za-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，،]")
 
 
-def _names(attributes: str, tag: str) -> tuple[str, bool]:
-    """(class and id for the path, whether they mark the element as apart)."""
+def _names(attributes: str, tag: str) -> tuple[str, set[str], bool]:
+    """(class and id for the path, words that mark the element as apart, whether it is hidden)."""
     if not attributes or attributes.isspace():
-        return "", False
+        return "", set(), False
     found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _NAMES.finditer(attributes)]
-    marks = {p.lower() for _, v in found for p in _PARTS.findall(v)}
-    return "".join(f"{'#' if k == 'id' else '.'}{v}" for k, v in found), not (ARTICLE_MARKS if tag in MAIN else MARKS).isdisjoint(marks) or bool(_HIDDEN.search(attributes))
+    marks = {p.lower() for _, v in found for p in _PARTS.findall(v)} & (ARTICLE_MARKS if tag in MAIN else MARKS)
+    return "".join(f"{'#' if k == 'id' else '.'}{v.replace('/', '|')}" for k, v in found), marks, bool(_HIDDEN.search(attributes))
+
+
+def _void(found: list[tuple[str, bool, int, str, int, tuple[int, ...], int]], words: dict[int, set[str]]) -> set[int]:
+    """Those of the marked elements (named by place, with their words) that are apart indeed."""
+    if not words:
+        return set()
+    total, held, articles = 0, dict.fromkeys(words, 0), {}
+    for _, apart, _, text, _, marks, article in found:
+        total += len(text)
+        if not apart:
+            for k in marks:
+                held[k] += len(text)
+            if article:
+                articles[article] = articles.get(article, 0) + len(text)
+    largest = max(articles, key=articles.get, default=0)
+    around = next((set(marks) for _, apart, _, _, _, marks, article in found if article == largest and not apart), set()) if largest else set()
+    out = set()
+    for k, n in held.items():
+        if k in around and k < largest:
+            continue
+        if n < (COMMENT_WRAPPER if words[k] & COMMENT_MARKS else WRAPPER) * total or n < TIMES_ARTICLE * articles.get(largest, 0):
+            out.add(k)
+    return out
 
 
 def blocks(html: str) -> list[tuple[str, bool, int, str, int]]:
     """(path, apart, 1 in an article and 2 in a main element, text, linked length) of every block, in page order."""
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, path, apart, main
-    out: list[tuple[str, bool, int, str, int]] = []
+    # tag, path, apart whatever it holds, main, marked elements around and outermost article or main element that is not marked (by place)
+    stack: list[tuple[str, str, bool, int, tuple[int, ...], int]] = [("", "", False, 0, (), 0)]
+    out: list[tuple[str, bool, int, str, int, tuple[int, ...], int]] = []
+    words: dict[int, set[str]] = {}
     buffer: list[str] = []
     place = stack[0]
     linked = at = 0
@@ -74,7 +109,7 @@ def blocks(html: str) -> list[tuple[str, bool, int, str, int]]:
         nonlocal linked
         if buffer:
             if text := " ".join(unescape("".join(buffer)).split()):
-                out.append((place[1], place[2], place[3], text, linked))
+                out.append((place[1], place[2], place[3], text, linked, place[4], place[5]))
             buffer.clear()
         linked = 0
 
@@ -83,8 +118,8 @@ def blocks(html: str) -> list[tuple[str, bool, int, str, int]]:
         if not text:
             return
         top = stack[-1]
-        if buffer and (top[2] != place[2] or top[3] != place[3]):
-            if top[2] and not place[2]:
+        if buffer and top[2:5] != place[2:5]:
+            if (top[2] and not place[2]) or len(top[4]) > len(place[4]):
                 return  # an inline part apart is left out of its block
             flush()
         if not buffer:
@@ -131,9 +166,9 @@ def blocks(html: str) -> list[tuple[str, bool, int, str, int]]:
                     break
                 if stack[k][0] in hold:
                     break
-        name, marked = _names(attributes, tag)
+        name, marked, hidden = _names(attributes, tag)
         above = stack[-1]
-        apart = above[2] or tag in APART or (tag == "header" and not above[3]) or (marked and tag not in ("html", "body"))
+        apart = above[2] or tag in APART or (tag == "header" and not above[3]) or (hidden and tag not in ("html", "body"))
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
             at = close.start() if close else end
@@ -141,9 +176,14 @@ def blocks(html: str) -> list[tuple[str, bool, int, str, int]]:
                 at = html.find(">", at) + 1 or end
             continue
         if not attributes.rstrip().endswith("/") or tag in BLOCK:
-            stack.append((tag, f"{above[1]}/{tag}{name}", apart, max(above[3], MAIN.get(tag, 0))))
+            marks = above[4]
+            if marked and tag not in ("html", "body"):
+                words[m.start() + 1] = marked
+                marks += (m.start() + 1,)
+            stack.append((tag, f"{above[1]}/{tag}{name}", apart, max(above[3], MAIN.get(tag, 0)), marks, above[5] or (m.start() + 1 if tag in MAIN and not marked else 0)))
     flush()
-    return out
+    void = _void(out, words)
+    return [(path, apart or not void.isdisjoint(marks), main, text, linked) for path, apart, main, text, linked, marks, _ in out]
 
 
 def _outside(found: list[tuple[str, bool, int, str, int]]) -> float:
@@ -177,7 +217,15 @@ def selected(found: list[tuple[str, bool, int, str, int]]) -> list[str]:
     means = {p: sum(x) / len(x) for p, x in by_parent.items()}
     fused = {p: (2 * r + means[p.rpartition("/")[0]]) / 3 * (1 - sums[p][3] / sums[p][1]) * (1 if sums[p][4] else outside) for p, r in ratio.items()}
     best = max(fused.values(), default=0)
-    return [text for path, apart, _, text, _ in found if not apart and fused[path] >= CUT * best]
+    own = [b for b in found if not b[1]]
+    passed = [fused[b[0]] >= CUT * best for b in own]
+    beside = [2 * sums[b[0]][3] < sums[b[0]][1] and any(_TAG_OF.match(x)[0] in BESIDE for x in b[0].split("/")[-3:]) for b in own]
+    for places in (range(1, len(own)), range(len(own) - 2, -1, -1)):
+        for k in places:
+            near = k - places.step
+            if beside[k] and passed[near] and bool(own[k][2]) == bool(own[near][2]):
+                passed[k] = True
+    return [b[3] for b, p in zip(own, passed, strict=True) if p]
 
 
 def main_text(html: str | None) -> str:
