@@ -210,6 +210,16 @@ def test_ann(spark):
     assert ann.search(table_of(spark, []), F.col("vec_id") % 50 == 0).collect() == []
 
 
+@pytest.mark.parametrize(("dim", "n"), [(64, 9), (1024, 12), (256, 4)])
+def test_ann_of_few_vectors(spark, dim, n):
+    rng = np.random.default_rng(dim)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=dim))]) for i in range(n)]
+    got = answers(ann.search(table_of(spark, rows), F.col("vec_id") >= 0))
+    for q, v in rows:
+        score = {i: float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)) for i, w in rows if i != q}
+        assert len({i for i, _ in got[q]}) == min(5, n - 1) and all(s == pytest.approx(score[i]) for i, s in got[q])
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 12))
     y = ann.rotated(x, 0, 3)

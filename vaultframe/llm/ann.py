@@ -3,7 +3,8 @@
 Each of `tables` pseudo-rotations (three rounds of random signs and a fast Hadamard transform, over the next power of
 two of the dimension) assigns a unit vector to the nearest signed axis. A vector is indexed once in each table; a query
 looks into the buckets of the `probes` signed axes nearest to it, and all that lies there is ranked by exact cosine
-in double precision. Buckets are cut into parts of about `part` vectors and `part` queries, so that none is too large for a task.
+in double precision. A query that finds fewer than asked for this way, though there are more of its dimension, meets all of
+them in a second, exact search. Buckets are cut into parts of about `part` vectors and `part` queries, so that none is too large for a task.
 
 Null and zero vectors, and those with null or non-finite components, take no part; vectors meet only vectors of their
 dimension. Rows with null ids take no part. Repeated vectors tie, and smaller ids come first; a repeated id counts once
@@ -99,5 +100,14 @@ def search(df: DataFrame, query: Column, tables: int = 10, probes: int = 8, part
     cuts, own_cuts = vectors.by_dimension(reps, 1, part, scale=2), vectors.by_dimension(once, probes, part, scale=2)
     probe, data = vectors.blocks(probe, data, cuts, own_cuts)
     keys += ["cut", "asked_cut"]
-    found = probe.groupBy(keys).cogroup(data.groupBy(keys)).applyInArrow(_ranked, vectors.FOUND.format("double"))
-    return vectors.answers(found, names)
+    found = written(probe.groupBy(keys).cogroup(data.groupBy(keys)).applyInArrow(_ranked, vectors.FOUND.format("double")))
+    have = found.groupBy("query", "candidate").agg(F.max(F.size("ids")).alias("n")).groupBy("query").agg(F.sum("n").alias("have"))
+    there = reps.groupBy("dim").agg(F.sum(F.size("ids")).alias("there"))  # one row for each dimension
+    few = once.join(F.broadcast(there), "dim").join(have, F.col("id") == F.col("query"), "left")
+    few = written(few.filter(F.coalesce("have", F.lit(0)) < F.least("there", F.lit(vectors.KEEP))).select("id", "dim", scaled.alias("vec")))
+    if few.isEmpty():
+        return vectors.answers(found, names)
+    asked, data = vectors.blocks(few, reps.select("id", "ids", "dim", scaled.alias("vec")), vectors.by_dimension(reps, 1, part), vectors.by_dimension(few, 1, part))
+    keys = ["cut", "asked_cut", "dim"]
+    more = asked.groupBy(keys).cogroup(data.groupBy(keys)).applyInArrow(_ranked, vectors.FOUND.format("double"))
+    return vectors.answers(found.union(more), names)
