@@ -220,6 +220,16 @@ def test_ann_of_few_vectors(spark, dim, n):
         assert len({i for i, _ in got[q]}) == min(5, n - 1) and all(s == pytest.approx(score[i]) for i, s in got[q])
 
 
+@pytest.mark.parametrize("search", [ann.search, topk.search])
+def test_repeated_rows(spark, search):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=4))]) for i in range(40)]
+    asked = F.col("vec_id") % 10 == 0
+    want = answers(search(table_of(spark, rows), asked))
+    assert answers(search(table_of(spark, rows + [rows[0]] * 6 + [rows[10]] + [rows[i] for i in range(1, 40)]), asked)) == want
+    assert all(len(x) == 5 for x in want.values())
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 12))
     y = ann.rotated(x, 0, 3)

@@ -1,7 +1,8 @@
 """What the two searches over vectors share.
 
 Equal vectors are searched once: a distinct vector is named by its smallest id and carries the KEEP smallest ids that
-have it, which is all that ties to smaller ids can ask for. Queries that are equal share one search, too.
+have it, which is all that ties to smaller ids can ask for. Queries that are equal share one search, too. Rows of equal id
+and vector count once, as neighbours and as queries.
 """
 
 from __future__ import annotations
@@ -21,15 +22,15 @@ FOUND = "query long, candidate long, ids array<bigint>, score {}"
 
 def distinct(vectors: DataFrame) -> DataFrame:
     """(id, ids, dim, vec) of the distinct vectors of (vec_id, vec)."""
-    few = vectors.withColumn("k", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).filter(F.col("k") <= KEEP)
-    return few.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("id"), "ids", F.size("vec").alias("dim"), "vec")
+    few = vectors.withColumn("k", F.dense_rank().over(Window.partitionBy("vec").orderBy("vec_id"))).filter(F.col("k") <= KEEP)
+    return few.groupBy("vec").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("id"), "ids", F.size("vec").alias("dim"), "vec")
 
 
 def asked(vectors: DataFrame, all_distinct: DataFrame, query: Column) -> tuple[DataFrame, DataFrame]:
     """(distinct vectors that are queries, the query ids of each)."""
     rows = vectors.filter(query)
     once = rows.groupBy("vec").agg(F.count("*").alias("n")).join(all_distinct, "vec").select("id", "dim", "vec")
-    names = rows.join(once, "vec").select(F.col("vec_id").alias("query_id"), F.col("id").alias("query"))
+    names = rows.join(once, "vec").select(F.col("vec_id").alias("query_id"), F.col("id").alias("query")).distinct()
     return once, names
 
 
