@@ -364,6 +364,18 @@ def test_checksums():
     assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 33")
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("DE89370400440532013000 EUR 100", ["DE89370400440532013000"]), ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]),
+        ("NO9386011117947 GB82 WEST 1234 5698 7654 32 OK", ["NO9386011117947", "GB82 WEST 1234 5698 7654 32"]), ("AB12 REF 4711 TO DE89370400440532013000 X", ["DE89370400440532013000"]),
+        ("DE89370400440532013001 EUR 100", []), ("DE89370400440532013000EUR", []),
+    ],
+)
+def test_iban_before_other_words(text, want):
+    assert [text[x["start"] : x["end"]] for x in pii.spans(text) if x["kind"] == "iban"] == want
+
+
 # 9
 
 @pytest.mark.parametrize(

@@ -1,7 +1,7 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust the score.
 
 Kinds email, ip, card and phone are the base: their spans stay whatever their score. iban (mod-97) and ssn are
-added by the method: an iban by its checksum, an ssn only where a context word stands near it. Offsets are code
+added by the method: an iban by its checksum, with the length of its country where that is known and fits, an ssn only where a context word stands near it. Offsets are code
 points, ends exclusive. Null and empty texts have no spans; repeated rows each get their own; a column named as the
 output is replaced. Every pattern is matched in time linear in the text, so very long texts are scanned whole.
 """
@@ -9,6 +9,7 @@ output is replaced. Every pattern is matched in time linear in the text, so very
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,6 +45,12 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN, by country.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}.items()
+    for c in countries.split()
+}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
 
@@ -62,6 +69,26 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban_end(found: str) -> int:
+    """Where the IBAN that a match begins with ends (0: it is none): by its country's length, or else with the match; of an unknown country with any word, the later the better."""
+    n = IBAN_LENGTHS.get(found[:2])
+    ends = [k for k, c in enumerate(found) if c == " "]
+    own = [e for e in [*ends, len(found)] if e - found.count(" ", 0, e) == n]
+    for e in [*own, len(found), *([] if n else reversed(ends))]:
+        if 15 <= e - found.count(" ", 0, e) <= 34 and mod97(found[:e]):
+            return e
+    return 0
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    while m := _IBAN.search(text, at):
+        end = _iban_end(m[0])
+        if end:
+            yield m.start(), m.start() + end
+        at = m.start() + (end or 4)  # what looked like one can hold another
+
+
 def _emails(text: str) -> list[tuple[int, int]]:
     """Leftmost non-overlapping matches of local@domain, found from each @: a match begins with the longest run of local characters before it that no earlier match has taken."""
     out, free, at = [], 0, text.find("@")
@@ -98,9 +125,8 @@ def candidates(text: str):
         for m in _PHONE.finditer(text):
             if 10 <= len(_DIGITS.sub("", m[0])) <= 15:
                 yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
-        if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0]):
-            yield "iban", *m.span()
+    for s, e in _ibans(text):
+        yield "iban", s, e
     if "-" in text:
         for m in _SSN.finditer(text):
             yield "ssn", *m.span()
