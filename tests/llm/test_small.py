@@ -140,6 +140,21 @@ def test_keep_one(spark):
     assert ngram_join.keep_one(empty(spark)).collect() == [] and ngram_join.classes(empty(spark)).collect() == []
 
 
+def test_null_ids(spark):
+    base = [f"w{k}" for k in range(60)]
+    middle = " ".join(["x0", *base[1:]])  # links with both, which do not link with each other
+    left, right = " ".join(["x0", *base[1:30], "y", *base[31:]]), " ".join(base)
+    rows = [(5, left, "s"), (None, middle, "s"), (7, right, "s"), (9, "other words here now and then", "s"), (None, "nothing like it at all", "s"), (None, "nothing like it at all", "s")]
+    sets = sets_of(rows, 3)
+    def alike(a, b):
+        return len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert min(alike(0, 1), alike(1, 2)) >= 0.9 > alike(0, 2)
+    got = ngram_join.classes(docs(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (0, 5), (5, 5), (7, 5), (9, 9)]
+    got = ngram_join.keep_one(docs(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, rows[4][1]), (5, left), (9, rows[3][1])]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 200), (300, 300)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -18,7 +18,7 @@ those that do are merged, all that are left. A lower bound of the difference, fr
 pairs that cannot link; all others are verified with their whole sets.
 
 Texts that are null or have no words have no shingles and link with nothing, not even each other. Rows of equal doc_id
-are documents of their own. An empty table gives no rows. Other columns are ignored. Hashes have 64 bits.
+are documents of their own, those of null doc_id too; a component's id is null only if all of its doc_ids are. An empty table gives no rows. Other columns are ignored. Hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -305,7 +305,11 @@ class Join:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         ids = written(ids.join(self.first, "node").select("doc_id", "node"))
         some = self.docs.join(_small(ids.select("doc_id").distinct(), ids.count()), "doc_id", "left_semi")
-        tokens = some.mapInArrow(_whole(self.k), "node long, tokens binary").dropDuplicates(["node"])
+        tokens = some.mapInArrow(_whole(self.k), "node long, tokens binary")
+        unnamed = ids.filter("doc_id is null").select("node")
+        if not unnamed.isEmpty():  # texts that only rows without a doc_id hold
+            tokens = tokens.union(self.docs.filter("doc_id is null").mapInArrow(_whole(self.k), "node long, tokens binary").join(unnamed, "node", "left_semi"))
+        tokens = tokens.dropDuplicates(["node"])
         tokens = written(tokens)
         both = pairs.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
@@ -377,10 +381,10 @@ def _named(k: int):
 
 
 def keep_one(df: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """df with one row of each group: that of the smallest doc_id, one of equal rows. Rows without shingles all stay. doc_id must not be null where there is text."""
+    """df with one row of each group: that of the smallest doc_id (null is the last), one of equal rows. Rows without shingles all stay."""
     join = Join(df, k, num, den)
     group = join.first.join(join.components, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
-    kept = written(group.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("x")).select(F.col("x.doc_id").alias("__doc"), F.col("x.node").alias("__kept")))
+    kept = written(group.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("x")).select(F.col("x.doc_id").alias("__doc"), F.col("x.node").alias("__kept")))
     schema = df.withColumn("text", F.col("text").cast("string")).withColumn("__node", F.lit(0).cast("long")).schema
     for field in schema.fields:
         field.nullable = True
