@@ -1,41 +1,35 @@
 """Words of texts as 64-bit hashes, computed over whole Arrow buffers with numpy.
 
-A word's hash is a polynomial over a random value for each byte, modulo 2**64, from one cumulative sum over the
-buffer; a final multiply-xor mix spreads it. Equal words have equal hashes; different ones collide with a chance
-near 2**-64 a pair.
+A word is read in blocks of eight bytes; each block is added to the hash so far and mixed by a bijection of 64 bits, so
+words of one length up to eight bytes never collide. What lies beyond LONG bytes of a word enters by its BLAKE2 digest.
+Equal words have equal hashes; different ones collide with a chance near 2**-64 a pair, whatever patterns they hold.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
-_RANDOM = np.random.default_rng(20240229)
-_BYTES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWERED = _BYTES[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_PIECE = 1 << 20
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of each."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
-            p = np.full(max(n, _PIECE + 4096), base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+_STEP = np.uint64(0x9FB21C651E98DF25)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word that are read in blocks.
+LONG = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    h = h ^ (h >> np.uint64(29))
-    h = h * np.uint64(0xA0761D6478BD642F)
-    return h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xA0761D6478BD642F)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def raw(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,33 +45,57 @@ def raw(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def hashed(text: pa.Array, lower: bool = False, kinds: np.ndarray | None = None, spaces: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, offsets, starts, ends): text k has the words offsets[k]:offsets[k+1]; starts and ends are bytes into raw(text)[0]. kinds: words are split, too, between bytes of different kinds that are both above 0."""
     data, offsets = raw(text)
-    n, values = len(data), _LOWERED if lower else _BYTES
-    space = spaces[data]
-    fresh = np.zeros(n + 1, bool)  # a text begins here
-    fresh[offsets] = True
-    solid = ~space
+    n = len(data)
+    solid = ~spaces[data]
     first, last = solid.copy(), solid.copy()
     if n:
-        first[1:] &= space[:-1] | fresh[1:n]
-        last[:-1] &= space[1:] | fresh[1:n]
+        first[1:] &= ~solid[:-1]
+        last[:-1] &= ~solid[1:]
+        edge = offsets[(offsets > 0) & (offsets < n)]  # texts meet here without a space
+        first[edge] = solid[edge]
+        last[edge - 1] = solid[edge - 1]
         if kinds is not None:
             kind = kinds[data]
             turn = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
             first[1:] |= turn
             last[:-1] |= turn
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes = np.empty(len(starts), np.uint64)
-    done = 0
-    while done < len(starts):  # by pieces that end with a word, so that the sums stay small
-        to = max(done + 1, int(np.searchsorted(ends, starts[done] + _PIECE, "right")))
-        low, high = int(starts[done]), int(ends[to - 1])
-        up, down = _grown(high - low + 1)
-        total = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(values[data[low:high]] * up[: high - low], out=total[1:])
-        s, e = starts[done:to] - low, ends[done:to] - low
-        hashes[done:to] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _BASE
-        done = to
-    return mix(hashes), np.searchsorted(starts, offsets), starts, ends
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = _LOWER[data] if lower else data
+    blocks = np.ndarray((n + 1,), "<u8", padded, strides=(1,))  # eight bytes from each byte on
+    size = ends - starts
+    hashes = mix((blocks[starts] & _MASKS[np.minimum(size, 8)]) + size.astype(np.uint64) * _BASE)
+    more, at = np.flatnonzero(size > 8), 8
+    while len(more) and at < LONG:
+        rest = size[more] - at
+        hashes[more] = mix(hashes[more] * _STEP + (blocks[starts[more] + at] & _MASKS[np.minimum(rest, 8)]))
+        more, at = more[rest > 8], at + 8
+    if len(more):
+        rest = np.array([int.from_bytes(blake2b(padded[s + LONG : e], digest_size=8).digest(), "little") for s, e in zip(starts[more].tolist(), ends[more].tolist(), strict=True)], np.uint64)
+        hashes[more] = mix(hashes[more] * _STEP + rest)
+    return hashes, np.searchsorted(starts, offsets), starts, ends
+
+
+def joined(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the texts' words joined by one space each; offsets, starts and ends as from hashed."""
+    size = ends - starts + 1  # with the space before; the first word of a text has none
+    to = np.cumsum(size)
+    out = np.full(int(to[-1]) if len(to) else 0, 32, np.uint8)
+    source = np.arange(len(out)) + np.repeat(starts - (to - size) - 1, size)
+    begin = np.zeros(len(out), bool)
+    begin[to - size] = True
+    out[~begin] = data[source[~begin]]
+    keep = np.ones(len(out), bool)
+    first = offsets[:-1][np.diff(offsets) > 0]
+    keep[(to - size)[first]] = False
+    ends_of = np.concatenate(([0], to))[offsets]
+    left_out = np.concatenate(([0], np.cumsum(np.diff(offsets) > 0)))
+    return out[keep], ends_of - left_out
+
+
+def segments(offsets: np.ndarray) -> np.ndarray:
+    """For each place, the number of the segment that it lies in."""
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
 
 def runs(h: np.ndarray, k: int) -> np.ndarray:
