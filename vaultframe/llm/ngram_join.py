@@ -6,11 +6,13 @@ den * |x and y| >= num * |x or y|.
 Tokens are classed by how many documents hold them: frequent ones (up to MOST_FREQUENT of the corpus, those above the
 least bound that leaves so few) and rare ones; rare come first in the order, then by hash. With at most e of its n tokens
 missing in a partner, a node with more than e rare tokens is indexed by the first e + 1 of them, singly. One with fewer
-is indexed by all its rare tokens, and its prefix extends over all of its frequent ones: they are dealt by hash to one
-bucket more than a linked pair can have differing tokens, and each bucket's combination of tokens is a key. As linked
+is indexed by all its rare tokens, and its prefix extends over all of its frequent ones: they are dealt by hash to more
+buckets than a linked pair can have differing tokens, and each bucket's combination of tokens is a key. As linked
 nodes differ in fewer tokens than there are buckets, they agree in one; so no link is lost:
 if neither x nor y has enough rare tokens they share a rare token or a bucket, otherwise the one whose prefix ends first
-keeps one of its e + 1 tokens in the other's prefix.
+keeps one of its e + 1 tokens in the other's prefix. Empty buckets are no keys: a node with more filled buckets than
+tokens that can differ agrees with its partner in a filled one. A node with fewer is dealt anew by another hash, SEEDS
+times at most, and only then are its empty buckets keys, too.
 
 Keys that few nodes share give their pairs. Keys of many nodes (groups of near copies) are compared within blocks of
 nodes, and only pairs of different components are named: first no more than would join all that may link, and, once
@@ -29,10 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, LongType
 
 from vaultframe.llm import words
-from vaultframe.llm.common import pieces, written
+from vaultframe.llm.common import attached, parts, pieces, tidy, written
 from vaultframe.llm.components import components
 
 #: Bound of the table of frequent tokens that every task holds.
@@ -45,37 +47,43 @@ FEW, BLOCK = 32, 2048
 MOST_BROADCAST = 1 << 20
 CELLS = 128
 _REST = 24  # bits of a token's hash below its slice
+#: Times that a node's frequent tokens are dealt to buckets.
+SEEDS = 8
+_COUNTED = np.dtype([("rest", "<u4"), ("n", "<u4")])
 
 
-def sets(text: pa.Array, k: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text: of k words, or of all words where there are fewer."""
+def sets(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, offsets): sorted distinct shingle hashes of each text, of k words, or of all words where there are fewer."""
     h, offsets, _, _ = words.hashed(text, lower=True)
+    n = np.diff(offsets)
+    size = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    to = np.concatenate(([0], np.cumsum(size)))
     whole = words.runs(h, k)
-    out = []
-    for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        if e - s >= k:
-            out.append(np.unique(whole[s : e - k + 1]))
-        elif e > s:
-            out.append(words.runs(h[s:e], e - s) + np.uint64(e - s))
-        else:
-            out.append(h[:0])
-    return out
+    source = np.arange(to[-1]) + np.repeat(offsets[:-1] - to[:-1], size)
+    flat = whole[np.minimum(source, len(whole) - 1)] if len(whole) else np.zeros(len(source), np.uint64)
+    for i in np.flatnonzero((n > 0) & (n < k)).tolist():
+        flat[to[i]] = words.runs(h[offsets[i] : offsets[i + 1]], int(n[i]))[0] + np.uint64(n[i])
+    for s, e in zip(to[:-1].tolist(), to[1:].tolist(), strict=True):
+        flat[s:e].sort()
+    fresh = np.ones(len(flat), bool)
+    fresh[1:] = flat[1:] != flat[:-1]
+    fresh[to[:-1][size > 0]] = True
+    return flat[fresh], np.concatenate(([0], np.cumsum(fresh)))[to]
 
 
-def name(s: np.ndarray) -> int:
-    """A set's node: a hash of all its tokens, as a signed number."""
-    with np.errstate(over="ignore"):
-        total = words.mix(np.array([words.mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64))
-    return int(total.astype(np.int64)[0])
+def names(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each set's node: a hash of all its tokens, as a signed number."""
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.mix(flat))))
+    return words.mix(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
-def missing(n: int, num: int, den: int) -> int:
+def missing(n, num: int, den: int):
     """Tokens of a set of n that may be missing in a linked one."""
     return n - -(-num * n // den)
 
 
 class Levels:
-    """Size classes, each half as wide again as the one before, and the buckets for each. Linked sets meet in the class of the larger one, so a set is in its own class and in that of its largest partner."""
+    """Size classes, each a quarter as wide again as the one before, and the buckets for each. Linked sets meet in the class of the larger one, so a set is in its own class and in that of its largest partner."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.bounds = num, den, [1]
@@ -83,61 +91,90 @@ class Levels:
     def _at(self, n: int) -> int:
         while self.bounds[-1] <= n:
             last = self.bounds[-1]
-            self.bounds.append(max(last * 3 // 2, last * self.den // self.num) + 1)
+            self.bounds.append(max(last * 5 // 4, last * self.den // self.num) + 1)
         return int(np.searchsorted(self.bounds, n, "right")) - 1
 
     def of(self, n: int) -> list[int]:
         return sorted({self._at(n), self._at(n * self.den // self.num)})
 
-    def buckets(self, level: int) -> int:
+    def enough(self, level: int) -> int:
         """One more than the tokens by which linked sets of sizes within the class can differ."""
         return (self.den - self.num) * 2 * (self.bounds[level + 1] - 1) // (self.den + self.num) + 1
 
 
+def combinations(often: np.ndarray, level: int, enough: int) -> list[np.ndarray]:
+    """Keys of a node's frequent tokens in a size class: the combinations of its buckets."""
+    out, weight = [], words.mix(often)
+    buckets = enough + enough // 4 + 2
+    for seed in range(SEEDS):
+        at = (words.mix(often ^ np.uint64(0xA5A5A5A5A5A5A5A5 + seed)) % np.uint64(buckets)).astype(np.int64)
+        total, filled = np.zeros(buckets, np.uint64), np.zeros(buckets, bool)
+        np.add.at(total, at, weight)
+        filled[at] = True
+        keys = words.mix(total + words.mix(np.arange(buckets, dtype=np.uint64) + np.uint64(level << 40 | seed << 56 | 1 << 62)))
+        done = int(filled.sum()) >= enough
+        out.append(keys if seed + 1 == SEEDS and not done else keys[filled])
+        if done:
+            break
+    return out
+
+
 def keys(s: np.ndarray, frequent: np.ndarray, num: int, den: int, levels: Levels) -> np.ndarray:
     """A node's index keys, given which of its tokens are frequent."""
     e = missing(len(s), num, den)
     rare = s[~frequent]
     if len(rare) > e:
         return rare[: e + 1]
-    out, often = [rare], s[frequent]
-    spread = words.mix(often ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    for at in levels.of(len(s)):
-        b = levels.buckets(at)
-        total = np.zeros(b, np.uint64)
-        np.add.at(total, (spread % np.uint64(b)).astype(np.int64), words.mix(often))
-        out.append(words.mix(total + words.mix(np.arange(b, dtype=np.uint64) + np.uint64(at << 40) + np.uint64(1 << 62))))
-    return np.concatenate(out)
+    return np.concatenate([rare, *(c for at in levels.of(len(s)) for c in combinations(s[frequent], at, levels.enough(at)))])
 
 
-def cells(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s >> np.uint64(64 - 7)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+def cells(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Counts of each set's tokens by hash cell, a byte each."""
+    n = len(offsets) - 1
+    counts = np.bincount(words.segments(offsets) * CELLS + (flat >> np.uint64(64 - 7)).astype(np.int64), minlength=n * CELLS)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(CELLS)), pa.py_buffer(np.minimum(counts, 255).astype(np.uint8))])
 
 
-def _each(k: int, text: str = "text") -> Iterator:
-    """From batches: (row of the batch's slice, its sets)."""
+def _each(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(slice of a batch, tokens, offsets and nodes of its sets)."""
+    for batch in batches:
+        for part in pieces(batch, "text", 1 << 20):
+            flat, offsets = sets(part.column("text"), k)
+            yield part, flat, offsets, names(flat, offsets)
+    tidy()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-        for batch in batches:
-            for part in pieces(batch, text, 1 << 20):
-                yield part, sets(part.column(text), k)
 
-    return run
+def _fresh(nodes: np.ndarray, offsets: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Numbers of the sets that have tokens and were not seen before, which are seen from now on."""
+    out = []
+    for i in np.flatnonzero(np.diff(offsets)).tolist():
+        if (own := int(nodes[i])) not in seen:
+            seen.add(own)
+            out.append(i)
+    return np.array(out, np.int64)
+
+
+def _taken(flat: np.ndarray, offsets: np.ndarray, sets_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, offsets) of some of the sets."""
+    size = np.diff(offsets)
+    if len(sets_of) == len(size):
+        return flat, offsets
+    keep = np.zeros(len(size), bool)
+    keep[sets_of] = True
+    return flat[np.repeat(keep, size)], np.concatenate(([0], np.cumsum(size[sets_of])))
 
 
 def _nodes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _each(k)(batches):
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([name(s) if len(s) else None for s in found], pa.int64()), pa.array([cells(s) for s in found], pa.binary())],
-                ["doc_id", "n", "node", "cells"],
-            )
+        for part, flat, offsets, nodes in _each(batches, k):
+            n = np.diff(offsets)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, mask=n == 0), cells(flat, offsets)], ["doc_id", "n", "node", "cells"])
 
     return run
 
 
-def _slices(k: int, bits: int):
-    """Every token as its slice and the _REST bits that follow, packed by slice in three bytes each; a task's copies of a set count once."""
+def _slices(k: int, bits: int, most: int = 1_000_000):
+    """Every token as its slice and the _REST bits that follow, packed by slice: `rest` has those that about `most` tokens of a task hold once, in three bytes each, `many` the others with their counts; so a token of very many documents adds little to its slice. A task's copies of a set count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -145,24 +182,28 @@ def _slices(k: int, bits: int):
         size = 0
 
         def packed() -> pa.RecordBatch:
-            top = np.sort(np.concatenate(held)) >> np.uint64(64 - bits - _REST)
-            part = (top >> np.uint64(_REST)).astype(np.int64)
-            where = np.searchsorted(part, np.arange((1 << bits) + 1))
-            low = (top & np.uint64((1 << _REST) - 1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-            used = np.flatnonzero(np.diff(where))
-            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([low[where[i] : where[i + 1]].tobytes() for i in used.tolist()], pa.binary())], ["slice", "rest"])
-
-        for _, found in _each(k)(batches):
-            for s in found:
-                if len(s) and (own := name(s)) not in seen:
-                    seen.add(own)
-                    held.append(s)
-                    size += len(s)
-            if size > 3_000_000:
+            top = np.concatenate(held) >> np.uint64(64 - bits - _REST)
+            top.sort()
+            at = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
+            top, count = top[at], np.diff(np.append(at, len(top)))
+            part, once = (top >> np.uint64(_REST)).astype(np.int32), count == 1
+            rows = np.empty(len(top), _COUNTED)
+            rows["rest"], rows["n"] = top & np.uint64((1 << _REST) - 1), count
+            low, rows = rows["rest"][once].view(np.uint8).reshape(-1, 4)[:, :3], rows[~once]
+            slices = np.arange((1 << bits) + 1)
+            a, b = np.searchsorted(part[once], slices), np.searchsorted(part[~once], slices)
+            used = np.flatnonzero(np.diff(a) + np.diff(b))
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array([x[w[i] : w[i + 1]].tobytes() for i in used.tolist()], pa.binary()) for x, w in ((low, a), (rows, b)))], ["slice", "rest", "many"])
+
+        for _, flat, offsets, nodes in _each(batches, k):
+            tokens = _taken(flat, offsets, _fresh(nodes, offsets, seen))[0]
+            held.append(tokens)
+            size += len(tokens)
+            if size > most:
                 yield packed()
                 held.clear()
                 size = 0
-        if held:
+        if size:
             yield packed()
 
     return run
@@ -171,10 +212,12 @@ def _slices(k: int, bits: int):
 def _often(more_than: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         b = np.frombuffer(b"".join(rows.column("rest").to_pylist()), np.uint8).reshape(-1, 3)
-        v = b[:, 0].astype(np.int64) | b[:, 1].astype(np.int64) << 8 | b[:, 2].astype(np.int64) << 16
-        token, n = np.unique(v, return_counts=True)
-        many = n > more_than
-        return pa.table([pa.array((key[0].as_py() << _REST) + token[many], pa.int64()), pa.array(n[many], pa.int64())], ["token", "n"])
+        once = b[:, 0].astype(np.int64) | b[:, 1].astype(np.int64) << 8 | b[:, 2].astype(np.int64) << 16
+        many = np.frombuffer(b"".join(rows.column("many").to_pylist()), _COUNTED)
+        token, back = np.unique(np.concatenate((once, many["rest"].astype(np.int64))), return_inverse=True)
+        n = np.bincount(back, np.concatenate((np.ones(len(once)), many["n"])), len(token)).astype(np.int64)
+        kept = n > more_than
+        return pa.table([pa.array((key[0].as_py() << _REST) + token[kept], pa.int64()), pa.array(n[kept], pa.int64())], ["token", "n"])
 
     return run
 
@@ -182,7 +225,7 @@ def _often(more_than: int):
 def frequent_tokens(docs: DataFrame, tokens: int, k: int) -> tuple[np.ndarray, int]:
     """(heads of the hashes of frequent tokens, sorted; bits of a head). Counts are of all documents."""
     bits = max(8, (max(1, tokens) >> 21).bit_length())
-    counts = written(docs.mapInArrow(_slices(k, bits), "slice int, rest binary").groupBy("slice").applyInArrow(_often(RARE), "token long, n long"))
+    counts = written(docs.mapInArrow(_slices(k, bits), "slice int, rest binary, many binary").groupBy("slice").applyInArrow(_often(RARE), "token long, n long"))
     bound, n = RARE, counts.count()
     while n > MOST_FREQUENT:
         bound *= 2
@@ -191,33 +234,53 @@ def frequent_tokens(docs: DataFrame, tokens: int, k: int) -> tuple[np.ndarray, i
     return np.sort(rows), bits + _REST
 
 
+class Frequent:
+    """Which tokens are frequent, by the heads of their hashes; a table of flags by the first bits sorts most others out."""
+
+    def __init__(self, heads: np.ndarray, bits: int, first: int = 22):
+        self.heads, self.shift, self.first = heads, np.uint64(64 - bits), np.uint64(64 - first)
+        self.flags = np.zeros(1 << first, bool)
+        self.flags[heads >> (bits - first)] = True
+
+    def of(self, flat: np.ndarray) -> np.ndarray:
+        out = self.flags[flat >> self.first]
+        some = np.flatnonzero(out)
+        if len(some):
+            head = (flat[some] >> self.shift).astype(np.int64)
+            out[some] = self.heads[np.minimum(np.searchsorted(self.heads, head), len(self.heads) - 1)] == head
+        return out
+
+
 def _postings(k: int, num: int, den: int, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, bits = table.value
-        levels, seen = Levels(num, den), set()
-        for _, found in _each(k)(batches):
-            out, nodes, sizes = [], [], []
-            for s in found:
-                if not len(s) or (own := name(s)) in seen:
-                    continue
-                seen.add(own)
-                head = (s >> np.uint64(64 - bits)).astype(np.int64)
-                at = np.searchsorted(heads, head)
-                often = heads[np.minimum(at, len(heads) - 1)] == head if len(heads) else np.zeros(len(s), bool)
-                out.append(keys(s, often, num, den, levels))
-                nodes.append(np.full(len(out[-1]), own))
-                sizes.append(np.full(len(out[-1]), len(s)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes), pa.int32())], ["key", "node", "n"])
+        frequent, levels, seen = Frequent(*table.value), Levels(num, den), set()
+        for _, flat, offsets, nodes in _each(batches, k):
+            kept = _fresh(nodes, offsets, seen)
+            if not len(kept):
+                continue
+            flat, offsets = _taken(flat, offsets, kept)
+            n, of, often = np.diff(offsets), words.segments(offsets), frequent.of(flat)
+            before = np.concatenate(([0], np.cumsum(~often)))
+            rare, e = before[offsets[1:]] - before[offsets[:-1]], missing(n, num, den)
+            enough = rare > e
+            first = ~often & enough[of] & (before[:-1] - before[offsets[:-1]][of] <= e[of])
+            out, at = [flat[first]], [of[first]]
+            for i in np.flatnonzero(~enough).tolist():
+                s = slice(offsets[i], offsets[i + 1])
+                out.append(keys(flat[s], often[s], num, den, levels))
+                at.append(np.full(len(out[-1]), i))
+            at = np.concatenate(at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(nodes[kept][at]), pa.array(n[at], pa.int32())], ["key", "node", "n"])
 
     return run
 
 
 def _whole(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _each(k)(batches):
-            found = [s for s in found if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([name(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "tokens"])
+        for _, flat, offsets, nodes in _each(batches, k):
+            some = np.diff(offsets) > 0
+            at = np.append(offsets[:-1][some], len(flat))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))], ["node", "tokens"])
 
     return run
 
@@ -233,48 +296,46 @@ def _near(num: int, den: int):
     return near
 
 
-def _linked(num: int, den: int):
-    @F.arrow_udf(BooleanType())
-    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(den * both >= num * (len(s) + len(t) - both))
-        return pa.array(out, pa.bool_())
-
-    return linked
-
-
 def _compared(num: int, den: int, turn: int | None):
     """Pairs of a block, or of two blocks, that may link and are of different components. With a turn, as if all that may link did: only pairs that join what is still apart, fewer than nodes; each turn takes others first."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        n = rows.column("n").to_numpy()
-        order = np.lexsort((rows.column("node").to_numpy(), n))
-        n, node, comp, part = n[order], *(rows.column(c).to_numpy()[order] for c in ("node", "component", "part"))
-        comp = comp.copy()
+        order = np.lexsort((rows.column("node").to_numpy(), rows.column("n").to_numpy()))
+        n, node, part = (rows.column(c).to_numpy()[order].astype(np.int64) for c in ("n", "node", "part"))
+        _, comp = np.unique(rows.column("component").to_numpy()[order], return_inverse=True)
+        open_comps, c = int(comp.max(initial=-1)) + 1, len(n)
         h = np.frombuffer(b"".join(rows.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)[order]
         small, h = h.reshape(-1, 16, CELLS // 16).sum(2, dtype=np.int16), h.astype(np.int16)
         apart = key[1].as_py() != key[2].as_py()
-        until = np.searchsorted(n, den * n // num, "right")
-        pairs: list[tuple[int, int]] = []
-        for i in np.random.default_rng(turn).permutation(len(n)) if turn else range(len(n)):
-            at = np.arange(i + 1, until[i])
-            at = at[comp[at] != comp[i]]
+        until, row = den * n // num, np.random.default_rng(turn).permutation(c) if turn else np.arange(c)
+        found: list[np.ndarray] = []
+        start, step = 0, 2 if turn is not None else c
+        while start < c and (turn is None or open_comps > 1):
+            step = max(1, min(step, (1 << 17) // c))  # differences of some MB at a time
+            i, j = row[start : start + step], slice(int(row[start : start + step].min()), c)
+            start, step = start + step, 2 * step
+            ok = (np.arange(c)[j] > i[:, None]) & (n[j] <= until[i][:, None]) & (comp[j] != comp[i][:, None])
             if apart:
-                at = at[part[at] != part[i]]
-            most = (den - num) * (n[at] + n[i]) // (den + num)
-            ok = np.abs(small[at] - small[i]).sum(1) <= most
-            at, most = at[ok], most[ok]
-            at = at[np.abs(h[at] - h[i]).sum(1) <= most]
-            for j in at.tolist():
-                if turn is not None:
-                    if comp[i] == comp[j]:
-                        continue
-                    comp[comp == comp[j]] = comp[i]
-                pairs.append((min(node[i], node[j]), max(node[i], node[j])))
-        return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+                ok &= part[j] != part[i][:, None]
+            a, b = np.nonzero(ok)
+            a, b = i[a], b + j.start
+            for sketch in (small, h):
+                kept = [np.abs(sketch[a[k : k + 65536]] - sketch[b[k : k + 65536]]).sum(1, dtype=np.int32) <= (den - num) * (n[a[k : k + 65536]] + n[b[k : k + 65536]]) // (den + num) for k in range(0, len(a), 65536)]
+                kept = np.concatenate(kept) if kept else np.zeros(0, bool)
+                a, b = a[kept], b[kept]
+            if turn is not None:
+                joins = []
+                for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+                    if comp[x] != comp[y]:
+                        comp[comp == comp[y]] = comp[x]
+                        joins.append(k)
+                        open_comps -= 1
+                        if open_comps == 1:
+                            break
+                a, b = a[joins], b[joins]
+            found.append(np.stack((node[a], node[b])))
+        pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        return pa.table([pa.array(pairs.min(0)), pa.array(pairs.max(0))], ["a", "b"])
 
     return run
 
@@ -299,37 +360,41 @@ class Join:
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those of (a, b) that link."""
-        near, linked = _near(self.num, self.den), _linked(self.num, self.den)
+        near = _near(self.num, self.den)
         sketch = lambda end: self.sketches.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("cells").alias(f"cells_{end}"))
         pairs = written(pairs.distinct().join(sketch("a"), "a").join(sketch("b"), "b").filter(near("cells_a", "cells_b", "n_a", "n_b")).select("a", "b"))
         ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         ids = written(ids.join(self.first, "node").select("doc_id", "node"))
         some = self.docs.join(_small(ids.select("doc_id").distinct(), ids.count()), "doc_id", "left_semi")
-        tokens = some.mapInArrow(_whole(self.k), "node long, tokens binary")
+        tokens = some.mapInArrow(_whole(self.k), "node long, tokens array<long>")
         unnamed = ids.filter("doc_id is null").select("node")
         if not unnamed.isEmpty():  # texts that only rows without a doc_id hold
-            tokens = tokens.union(self.docs.filter("doc_id is null").mapInArrow(_whole(self.k), "node long, tokens binary").join(unnamed, "node", "left_semi"))
+            tokens = tokens.union(self.docs.filter("doc_id is null").mapInArrow(_whole(self.k), "node long, tokens array<long>").join(unnamed, "node", "left_semi"))
         tokens = tokens.dropDuplicates(["node"])
         tokens = written(tokens)
         both = pairs.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
-        return written(both.filter(linked("x", "y")).select("a", "b"))
+        shared = F.size(F.array_intersect("x", "y"))
+        return written(both.filter(self.den * shared >= self.num * (F.size("x") + F.size("y") - shared)).select("a", "b"))
 
     def _components(self) -> DataFrame:
         known = self.nodes.filter("node is not null")
-        self.first = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+        self.first = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c")))
         self.sketches = known.select("node", "n", "cells").dropDuplicates(["node"])
         self.tested = None
         tokens = self.nodes.agg(F.sum("n")).first()[0] or 0
         spark = self.docs.sparkSession
         table = spark.sparkContext.broadcast(frequent_tokens(self.docs, tokens, self.k))
-        postings = self.docs.mapInArrow(_postings(self.k, self.num, self.den, table), "key long, node long, n int")
+        postings = written(self.docs.mapInArrow(_postings(self.k, self.num, self.den, table), "key long, node long, n int"))
         shared = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("c")).filter("low <> high").select("key", "c")
         postings = written(postings.join(shared, "key"))
         lists = postings.filter(F.col("c") <= FEW).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("n", "node"))).alias("l"))
         after = lambda x: F.transform(F.filter("l", lambda y: (y > x) & self._size_fits(x["n"], y["n"])), lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")))
         pairs = lists.select(F.explode(F.flatten(F.transform("l", after))).alias("p")).select("p.*")
         many = postings.filter(F.col("c") > FEW).distinct()
+        # Of keys that the same nodes share one is enough.
+        same = many.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("low"), F.count("*").alias("held")).groupBy("x", "low", "held").agg(F.min("key").alias("key"))
+        many = written(many.join(same.select("key"), "key", "left_semi"))
         crowded = not many.isEmpty()
         comps = written(components(self._verified(pairs)))
         if not crowded:
@@ -353,9 +418,10 @@ class Join:
         return written(held.join(open_keys, "key", "left_semi"))
 
     def _crowds(self, many: DataFrame, turn: int | None) -> DataFrame:
-        """Pairs (a, b) of different components from keys of many nodes."""
+        """Pairs (a, b) of different components from keys of many nodes. In the first turn a block meets itself and the next, so that its cost is linear; groups of near copies close by that. Later ones compare all blocks of the keys that are still open."""
         held = many.join(self.sketches.select("node", "cells"), "node")
-        two = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+        others = F.sequence(F.lit(0), F.col("cuts") - 1) if turn != 0 else F.array_distinct(F.array("part", F.pmod(F.col("part") + 1, "cuts"), F.pmod(F.col("part") - 1, "cuts")))
+        two = F.transform(others, lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
         held = held.select("key", "node", "n", "component", "part", "cells", F.explode(two).alias("b"))
         return held.select("key", "b.i", "b.j", "node", "n", "component", "part", "cells").groupBy("key", "i", "j").applyInArrow(_compared(self.num, self.den, turn), "a long, b long").distinct()
 
@@ -364,7 +430,7 @@ class Join:
         least = self.first.join(self.components, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
         of = self.components.join(least, "component").select("node", "component_id")
         info = self.first.join(of, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-        out = self.nodes.select("doc_id", F.col("n").alias("n_shingles"), "node").join(info, "node", "left")
+        out = attached(self.nodes.select("doc_id", F.col("n").alias("n_shingles"), "node"), self.first, info, "node")
         return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -372,12 +438,17 @@ def classes(df: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFra
     return Join(df, k, num, den).classes()
 
 
-def _named(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _each(k)(batches):
-            yield part.append_column(pa.field("__node", pa.int64()), pa.array([name(s) if len(s) else None for s in found], pa.int64()))
+def _node(k: int):
+    @F.arrow_udf(LongType())
+    def node(text: pa.Array) -> pa.Array:
+        out = [pa.array([], pa.int64())]
+        for part in parts(text):
+            flat, offsets = sets(part, k)
+            out.append(pa.array(names(flat, offsets), mask=np.diff(offsets) == 0))
+        tidy()
+        return pa.concat_arrays(out)
 
-    return run
+    return node
 
 
 def keep_one(df: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -385,10 +456,8 @@ def keep_one(df: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
     join = Join(df, k, num, den)
     group = join.first.join(join.components, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     kept = written(group.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("x")).select(F.col("x.doc_id").alias("__doc"), F.col("x.node").alias("__kept")))
-    schema = df.withColumn("text", F.col("text").cast("string")).withColumn("__node", F.lit(0).cast("long")).schema
-    for field in schema.fields:
-        field.nullable = True
-    rows = df.withColumn("text", F.col("text").cast("string")).mapInArrow(_named(k), schema)
+    text = F.col("text").cast("string")
+    rows = df.withColumns({"text": text, "__node": _node(k)(text)})
     own = rows.join(_small(kept, kept.count()), (F.col("__node") == F.col("__kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
     repeated = join.nodes.filter("node is not null").groupBy("doc_id", "node").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("__d"), F.col("node").alias("__n"))
     stay = own.filter("__node is null or __kept is not null")

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vaultframe.llm.common import tidy
+
 #: The kinds in the order of ties.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
@@ -167,7 +169,9 @@ def cut(text: str | None, found: list[dict]) -> str | None:
 
 @F.arrow_udf(T.StringType())
 def _redacted(text: pa.Array) -> pa.Array:
-    return pa.array([cut(t := x.as_py(), spans(t)) for x in text], pa.string())
+    out = pa.array([cut(t := x.as_py(), spans(t)) for x in text], pa.string())
+    tidy()
+    return out
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
