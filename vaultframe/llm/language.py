@@ -12,18 +12,19 @@ code-point order. Repeated rows are predicted each; a column named as an output
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vaultframe.llm import crf, words
-from vaultframe.llm.common import pieces
+from vaultframe.llm.common import parts, tidy
 
 BITS = 18
+_PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 _SPLIT = np.ones(256, bool)
 for _b in range(256):
     _SPLIT[_b] = not (chr(_b).isalpha() if _b < 0x80 else True)
@@ -154,24 +155,30 @@ def fit(texts: list[str], langs: list[str], length: int = 60, rounds: int = 6, s
     return Model(names, weights, start, trans)
 
 
-def learn(df: DataFrame, only: Column, sample: int = 150) -> Model:
-    """A model of df.lang, from at most `sample` documents of each language that fulfil `only` (on doc_id)."""
+def learn(df: DataFrame, only: Column, sample: int = 150, longest: int = 100_000) -> Model:
+    """A model of df.lang, from at most `sample` documents of each language that fulfil `only` (on doc_id), of each at most `longest` characters."""
+    first = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order)) <= sample
     rows = df.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and lang is not null").filter(only)
-    some = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("k") <= sample)
-    got = df.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(some), "doc_id").orderBy("lang", "k", "text").limit(sample * 1000).collect()
+    some = rows.withColumn("k", first(F.xxhash64("doc_id"), "doc_id")).filter("k").drop("k").distinct()
+    texts = df.select("doc_id", F.substring("text", 1, longest).alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null")
+    got = texts.join(F.broadcast(some), ["doc_id", "lang"]).withColumn("k", first(F.xxhash64("doc_id"), "doc_id", "text")).filter("k").orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").collect()
     return fit([r.text for r in got], [r.lang for r in got])
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with lang_pred and score."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, text, 4 << 20):
-                lang, score = shared.value.predict(part.column(text))
-                yield part.append_column(pa.field("lang_pred", pa.string()), pa.array(lang, pa.string())).append_column(pa.field("score", pa.float64()), pa.array(score, pa.float64()))
-
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: 2**BITS weights for each language
-    df = df.drop("lang_pred", "score").withColumn(text, F.col(text).cast("string"))
-    schema = df.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
-    return df.mapInArrow(run, schema)
+
+    @F.arrow_udf(_PREDICTED)
+    def predicted(texts: pa.Array) -> pa.Array:
+        lang, score = [], [np.zeros(0)]
+        for part in parts(texts, 2 << 20):
+            got = shared.value.predict(part)
+            lang += got[0]
+            score.append(got[1])
+        tidy()
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(score), pa.float64())], ["lang_pred", "score"])
+
+    df = df.drop("lang_pred", "score")
+    found = predicted(F.col(text).cast("string"))
+    return df.select(*df.columns, found.alias("__predicted")).select(*df.columns, "__predicted.lang_pred", "__predicted.score")

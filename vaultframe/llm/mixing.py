@@ -23,12 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from vaultframe.llm.common import WORD, written
+from vaultframe.llm.common import WORD, tidy, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
-#: The table of sources is held by the driver; more of them are refused, as no weights are meant for so many.
+#: The table of sources, a row each, is held by the driver and by each task that draws slots; more of them are refused (see the README).
 MOST_SOURCES = 1_000_000
 _SLOTS = "shard long, slot int, source_no int, pass int, block long, take int"
 _WORDS = re.compile(WORD)
@@ -222,11 +223,13 @@ def _part(text: str, runs: list[tuple[int, int]]) -> str:
     return " ".join(" ".join(words[s : s + n]) for s, n in runs)
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t if len(r) == 1 and r[0]["n"] == size else _part(t, [(x["s"], x["n"]) for x in r]) for t, r, size in zip(batch.column("text").to_pylist(), batch.column("__runs").to_pylist(), batch.column("__size").to_pylist(), strict=True)]
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type))
+@F.arrow_udf(StringType())
+def _taken_words(text: pa.Array, runs: pa.Array, size: pa.Array) -> pa.Array:
+    out = [t if len(r) == 1 and r[0]["n"] == n else _part(t, [(x["s"], x["n"]) for x in r]) for t, r, n in zip(map(pa.StringScalar.as_py, text), map(pa.ListScalar.as_py, runs), size.to_pylist(), strict=True)]
+    done = pa.array(out, pa.string())
+    del out
+    tidy()
+    return done
 
 
 def documents(df: DataFrame, **options) -> DataFrame:
@@ -237,5 +240,5 @@ def documents(df: DataFrame, **options) -> DataFrame:
     step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["s"] + F.element_at(acc, -1)["n"] == x["s"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), (F.element_at(acc, -1)["n"] + x["n"]).alias("n"))))).otherwise(F.concat(acc, F.array(x)))
     found = found.withColumn("runs", F.aggregate("runs", F.slice("runs", 1, 0), step))
     got = rows.join(found, ["source_no", "bucket", "rank"])
-    got = got.select("row.*", F.col("size").alias("__size"), F.col("runs").alias("__runs")).withColumn("text", F.col("text").cast("string"))
-    return got.mapInArrow(_parts, got.schema).select(*df.columns)
+    got = got.select("row", "runs", "size").withColumn("taken", _taken_words(F.col("row.text").cast("string"), "runs", "size"))
+    return got.select(*(F.col("taken").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in df.columns))

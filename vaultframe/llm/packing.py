@@ -7,7 +7,8 @@ while it is longer than a sequence; the rests, longest first, go to the sequence
 quadratic attention cost of its pieces) that still has room, and are cut only where none has.
 
 Null and empty texts are a document with the end token alone; equal texts and repeated rows are packed each on its
-own; an empty table gives no rows; other columns are ignored. A document larger than a window has a window of its own.
+own; an empty table gives no rows; other columns are ignored. A window ends with the document that fills it, so a very long one
+makes its window larger, by itself.
 """
 
 from __future__ import annotations
@@ -161,7 +162,7 @@ def assign(lengths: list[int], max_len: int, linear: float = 1.0, quadratic: flo
 
 def _packed(path: str, max_len: int, end_id: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from vaultframe.llm.common import pieces
+        from vaultframe.llm.common import pieces, tidy
 
         tokens = _known.get(path) or _known.setdefault(path, Tokens(path))
         next_id = TaskContext.get().partitionId() << 40
@@ -200,8 +201,10 @@ def _packed(path: str, max_len: int, end_id: int, window: int):
                     if size >= window:
                         yield flush()
                         size = 0
+                        tidy()
         if held:
             yield flush()
+        tidy()
 
     return run
 

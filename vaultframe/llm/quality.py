@@ -1,10 +1,10 @@
 """Quality classifier: a linear-chain CRF labels every line good or bad; documents get length-weighted marginals.
 
 A line's features are shares of kinds of characters, word lengths, repetition, and the same of the lines before and
-after it. Training takes at most `sample` labelled documents (the first by a hash of doc_id), whole: every line first
-bears its document's label; then, in bad documents, lines that the model holds for good are relabelled (each keeps its
+after it. Training takes at most `sample` labelled documents (the first by a hash of doc_id) of at most `longest` characters each; texts are
+scored whole. Every line first bears its document's label; then, in bad documents, lines that the model holds for good are relabelled (each keeps its
 worst line) and the model is fitted again. A logistic curve, fitted on the same documents, turns the length-weighted
-mean of good marginals and the worst line's into the score, a probability that the label is 1.
+mean of good marginals and the share of bad lines (a tenth of the length counts wholly) into the score, a probability that the label is 1.
 
 Empty and null texts have one empty line. Without labelled rows every score is 0.5. Rows with null doc_id or label are
 not learnt from; repeated rows are scored each. A column named as an output is replaced.
@@ -12,23 +12,25 @@ not learnt from; repeated rows are scored each. A column named as an output is r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from vaultframe.llm import crf, words
-from vaultframe.llm.common import pieces
+from vaultframe.llm.common import parts, tidy
 
 #: Fixed value: documents whose score is below are rejected.
 THRESHOLD = 0.3
-_KIND = np.zeros((256, 9), np.float32)  # lower, upper, digit, space, sentence, exclaiming, symbols, bars, other
+#: Kinds of bytes: lower, upper, digit, space, sentence, exclaiming, symbols, bars, other.
+KINDS = 9
+_KIND = np.zeros(256, np.uint8)
 for _b in range(256):
     _c = chr(_b)
-    _KIND[_b, 0 if "a" <= _c <= "z" or _b >= 0x80 else 1 if "A" <= _c <= "Z" else 2 if "0" <= _c <= "9" else 3 if _c in " \t\r\v\f" else 4 if _c in ".,;:'\"()-" else 5 if _c in "!?" else 6 if _c in "#$%&*@^~=+_<>" else 7 if _c in "|\\/{}[]`" else 8] = 1
+    _KIND[_b] = 0 if "a" <= _c <= "z" or _b >= 0x80 else 1 if "A" <= _c <= "Z" else 2 if "0" <= _c <= "9" else 3 if _c in " \t\r\v\f" else 4 if _c in ".,;:'\"()-" else 5 if _c in "!?" else 6 if _c in "#$%&*@^~=+_<>" else 7 if _c in "|\\/{}[]`" else 8
 
 
 def lines(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,7 +44,9 @@ def lines(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     of_text = np.searchsorted(ends, offsets[1:] + np.arange(n)) + 1
     line_offsets = np.concatenate(([0], of_text))
     size = (ends - starts).astype(np.float32)
-    counts = np.add.reduceat(_KIND[flat], starts, axis=0) if len(starts) else np.zeros((0, 9), np.float32)
+    kind, counts = _KIND[flat], np.zeros((len(starts), KINDS), np.float32)
+    for k in range(KINDS if len(starts) else 0):
+        counts[:, k] = np.add.reduceat(kind == k, starts, dtype=np.int32)
     counts[:, 8] -= 1  # the line break
     part = counts / np.maximum(size, 1)[:, None]
     h, _, s, e = words.hashed(_as_text(flat))
@@ -136,22 +140,21 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 3, steps: int
     return Model(model.weights, start, trans, curve)
 
 
-def learn(df: DataFrame, labels: DataFrame, only: Column, sample: int = 2000) -> Model:
-    """A model of labels.quality, from at most `sample` labelled documents that fulfil `only` (on doc_id)."""
+def learn(df: DataFrame, labels: DataFrame, only: Column, sample: int = 2000, longest: int = 100_000) -> Model:
+    """A model of labels.quality, from at most `sample` labelled documents that fulfil `only` (on doc_id), of each at most `longest` characters."""
     known = labels.filter("doc_id is not null and quality in (0, 1)").filter(only).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = df.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
+    rows = df.select("doc_id", F.substring("text", 1, longest).alias("text")).join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
     return fit([r.text for r in rows], [r.quality for r in rows])
 
 
 def score(df: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """df with each text's score."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, text, 2 << 20):
-                yield part.append_column(pa.field(into, pa.float64()), pa.array(model.scores(part.column(text)), pa.float64()))
+    @F.arrow_udf(DoubleType())
+    def scored(texts: pa.Array) -> pa.Array:
+        out = [model.scores(part) for part in parts(texts)]
+        tidy()
+        return pa.array(np.concatenate(out) if out else [], pa.float64())
 
-    df = df.drop(into).withColumn(text, F.col(text).cast("string"))
-    schema = df.withColumn(into, F.lit(0.0)).schema
-    return df.mapInArrow(run, schema)
+    return df.withColumn(into, scored(F.col(text).cast("string")))
