@@ -1,8 +1,9 @@
 """Substring dedup by repeated-phrase automata.
 
 A window is `window` consecutive words. Its anchor is the phrase of `phrase` words in it with the least hash, so equal
-windows have equal anchors, and a sixth of all phrases are anchors. Anchors of all documents are counted in slices of the hash
-space; those that two different texts, or one text twice, hold are confirmed as recurring. Texts are dealt to shards; each
+windows have equal anchors, and a sixth of all phrases are anchors. Anchors that two texts of a task hold, or one text
+twice, are known to recur there; the others are counted in slices of the hash space, to which a task sends each anchor once, however many of its
+texts hold it. Texts are dealt to shards; each
 shard compiles an Aho-Corasick automaton of the recurring phrases of its texts (words as pairs of symbols) and streams
 its texts through it to locate every occurrence. Windows whose anchor is located are candidates: their hashes get the
 earliest (doc_id, start) of all that are equal, and a window that is not its earliest covers words to remove.
@@ -16,7 +17,6 @@ An empty table gives no rows. Other columns are ignored. Hashes of windows and o
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultframe.llm import words
-from vaultframe.llm.common import WORD, partitions_for, pieces, written
+from vaultframe.llm.common import attached, partitions_for, pieces, tidy, written
 
-_WORDS = re.compile(WORD)
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _LAST = (1 << 63) - 1
 _REST = 32  # bits of an anchor's hash below its slice
@@ -58,80 +57,113 @@ def anchors(h: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.nda
 
 
 def _measured(window: int):
-    """Each row's number of words, sequence hash and digest of all its words."""
+    """Each row's number of words, sequence hash (null where there is no window) and digest of all its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
-                h, offsets, _, _ = words.hashed(part.column("text"))
-                digests = [hashlib.sha256(" ".join(_WORDS.findall(t or "")).encode()).hexdigest() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(_sequences(h, offsets).view(np.int64)), pa.array(digests)], ["doc_id", "n", "sequence", "digest"])
+                h, offsets, starts, ends = words.hashed(part.column("text"))
+                flat, to = words.joined(words.raw(part.column("text"))[0], offsets, starts, ends)
+                digests = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
+                n = np.diff(offsets)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(_sequences(h, offsets).view(np.int64), mask=n < window), pa.array(digests)], ["doc_id", "n", "sequence", "digest"])
+        tidy()
 
     return run
 
 
-def _sliced(window: int, phrase: int, bits: int):
-    """Anchors by slice: heads of hashes, each with the sequence hash of its text and whether the text repeats it. A row holds those of a slice among many texts, so rows are at most as many as anchors."""
+def _packed(key: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """rows by key, those of a key as one cell."""
+    order = np.argsort(key, kind="stable")
+    key, rows = key[order], rows[order]
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    to = np.append(at, len(key))[1:]
+    return pa.RecordBatch.from_arrays([pa.array(key[at], pa.int64()), pa.array([rows[a:b].tobytes() for a, b in zip(at.tolist(), to.tolist(), strict=True)], pa.binary())], ["key", "heads"])
+
+
+def used_anchors(h: np.ndarray, offsets: np.ndarray, texts: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, whether the text holds that phrase again) of the anchors of some texts; an anchor can come more than once."""
+    grams = words.runs(h, phrase)
+    m = least(grams, window - phrase + 1)
+    of = words.segments(offsets)
+    chosen = np.zeros(len(offsets) - 1, bool)
+    chosen[texts] = True
+    whole = chosen[of[: len(m)]] & (np.arange(len(m)) + window <= offsets[of[: len(m)] + 1])
+    fresh = whole.copy()
+    fresh[1:] &= (m[1:] != m[:-1]) | ~whole[:-1] | (of[1 : len(m)] != of[: len(m) - 1])
+    at = np.flatnonzero(fresh)
+    # A phrase that stands in the text again recurs, whichever of its places are anchors.
+    again = []
+    for k in texts.tolist():
+        g = np.sort(grams[offsets[k] : offsets[k + 1] - phrase + 1])
+        double = g[1:][g[1:] == g[:-1]]
+        if len(double):
+            again.append(words.mix(double + np.uint64(k)))
+    name = words.mix(m[at] + of[at].astype(np.uint64)) if again else m[at]
+    return of[at], m[at], np.isin(name, np.concatenate(again)) if again else np.zeros(len(at), bool)
+
+
+def _sliced(window: int, phrase: int, bits: int, shards: int, most: int = 1_000_000):
+    """Anchors by key, packed: below 2**bits the key is a slice of hashes, and the cell holds heads with the sequence hash of a text and whether they are known to recur; from there on it is a shard, and the cell holds heads that recur in its texts. Of about `most` anchors of a task each head goes to its slice once."""
+    head = np.uint64(64 - bits - _REST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[np.ndarray] = []
-        parts: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
-        def packed() -> pa.RecordBatch:
-            of, anchor = np.concatenate(parts), np.concatenate(held)
-            order = np.argsort(of, kind="stable")
-            of, anchor = of[order], anchor[order]
-            at = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            to = np.append(at[1:], len(of))
-            return pa.RecordBatch.from_arrays([pa.array(of[at], pa.int32()), pa.array([anchor[a:b].tobytes() for a, b in zip(at.tolist(), to.tolist(), strict=True)], pa.binary())], ["slice", "heads"])
+        def packed() -> Iterator[pa.RecordBatch]:
+            heads, own, twice = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(heads, kind="stable")
+            heads, own, twice = heads[order], own[order], twice[order]
+            at = np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1])))
+            known = (np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at)) | np.logical_or.reduceat(twice, at)
+            rows = np.empty(len(at), _ANCHOR)
+            rows["head"], rows["sequence"], rows["twice"] = heads[at] & np.uint64((1 << _REST) - 1), own[at], known
+            yield _packed((heads[at] >> np.uint64(_REST)).astype(np.int64), rows)
+            some = np.repeat(known, np.diff(np.append(at, len(heads))))
+            yield _packed((own[some] % np.uint64(shards)).astype(np.int64) + (1 << bits), heads[some])
 
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
+            for part in pieces(batch, "text", 1 << 20):
                 h, offsets, _, _ = words.hashed(part.column("text"))
-                names = _sequences(h, offsets)
+                names, texts = _sequences(h, offsets), []
                 for k in np.flatnonzero(np.diff(offsets) >= window).tolist():
-                    own = int(names[k])
-                    if own in seen:
-                        continue
-                    seen.add(own)
-                    grams, m = anchors(h[offsets[k] : offsets[k + 1]], window, phrase)
-                    # A phrase that stands in the text again recurs, whichever of its places are anchors.
-                    kinds, times = np.unique(grams, return_counts=True)
-                    used = np.unique(m[np.concatenate(([True], m[1:] != m[:-1]))])
-                    v = used >> np.uint64(64 - bits - _REST)
-                    rows = np.empty(len(v), _ANCHOR)
-                    rows["head"], rows["sequence"], rows["twice"] = v & np.uint64((1 << _REST) - 1), own, times[np.searchsorted(kinds, used)] > 1
-                    held.append(rows)
-                    parts.append((v >> np.uint64(_REST)).astype(np.int64))
-                    size += len(v)
-                if size > 400_000:
-                    yield packed()
+                    if (own := int(names[k])) not in seen:
+                        seen.add(own)
+                        texts.append(k)
+                if not texts:
+                    continue
+                of, anchor, twice = used_anchors(h, offsets, np.array(texts), window, phrase)
+                held.append((anchor >> head, names[of], twice))
+                size += len(of)
+                if size > most:
+                    yield from packed()
                     held.clear()
-                    parts.clear()
                     size = 0
-        if held:
-            yield packed()
+        if size:
+            yield from packed()
+        tidy()
 
     return run
 
 
-def _recurring(shards: int):
+def _recurring(shards: int, bits: int):
     """For each shard, the heads of its anchors that recur anywhere: two texts hold them, told apart by all 64 bits of their sequence hashes, or one repeats them."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        found = np.frombuffer(b"".join(rows.column("heads").to_pylist()), _ANCHOR)
+        here, cells = key[0].as_py(), b"".join(rows.column("heads").to_pylist())
+        if here >= 1 << bits:
+            heads = np.unique(np.frombuffer(cells, np.uint64))
+            return pa.table([pa.array([here - (1 << bits)], pa.int32()), pa.array([heads.tobytes()], pa.binary())], ["shard", "heads"])
+        found = np.frombuffer(cells, _ANCHOR)
         found = found[np.argsort(found["head"], kind="stable")]
         first = np.flatnonzero(np.concatenate(([True], found["head"][1:] != found["head"][:-1])))
         names = np.ascontiguousarray(found["sequence"])
         recurs = (np.minimum.reduceat(names, first) != np.maximum.reduceat(names, first)) | np.logical_or.reduceat(found["twice"], first)
         held = found[np.repeat(recurs, np.diff(np.append(first, len(found))))]
-        pairs = np.unique(held["sequence"] % np.uint64(shards) << np.uint64(32) | held["head"].astype(np.uint64))
-        of, heads = (pairs >> np.uint64(32)).astype(np.int64), ((pairs & np.uint64(0xFFFFFFFF)) | np.uint64(key[0].as_py()) << np.uint64(_REST))
-        at = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
-        to = np.append(at, len(of))[1:]
-        return pa.table([pa.array(of[at], pa.int32()), pa.array([heads[a:b].tobytes() for a, b in zip(at.tolist(), to.tolist(), strict=True)], pa.binary())], ["shard", "heads"])
+        out = _packed((held["sequence"] % np.uint64(shards)).astype(np.int64), held["head"].astype(np.uint64) | np.uint64(here) << np.uint64(_REST))
+        return pa.table([out.column("key").cast(pa.int32()), out.column("heads")], ["shard", "heads"])
 
     return run
 
@@ -170,7 +202,7 @@ def _located(window: int, phrase: int, bits: int):
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, found: pa.Table) -> pa.Table:
         import ahocorasick
 
-        heads = np.sort(np.frombuffer(b"".join(found.column("heads").to_pylist()), np.uint64))
+        heads = np.unique(np.frombuffer(b"".join(found.column("heads").to_pylist()), np.uint64))
         first: dict[int, int] = {}
         docs, names = texts.column("doc_id").to_pylist(), texts.column("sequence").to_pylist()
         for k, own in enumerate(names):
@@ -180,13 +212,11 @@ def _located(window: int, phrase: int, bits: int):
         out: list[list] = [[], [], [], [], []]
         machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         known: set[int] = set()
-        text = [x for b in kept.to_batches() for x in pieces(b, "text", 1 << 20)] if len(heads) else []
-        for part in text:
-            h, offsets, _, _ = words.hashed(part.column("text"))
+        text = [(x, *words.hashed(x.column("text"))) for b in kept.to_batches() for x in pieces(b, "text", 1 << 20)] if len(heads) else []
+        for _, h, _, _, _ in text:
             grams = words.runs(h, phrase)
             head = grams >> np.uint64(64 - bits - _REST)
-            at = np.searchsorted(heads, head)
-            again = np.flatnonzero(heads[np.minimum(at, len(heads) - 1)] == head)
+            again = np.flatnonzero(heads[np.minimum(np.searchsorted(heads, head), len(heads) - 1)] == head)
             _, once = np.unique(grams[again], return_index=True)
             symbols = _symbols(h)
             for j, g in zip(again[once].tolist(), grams[again[once]].tolist(), strict=True):
@@ -195,23 +225,27 @@ def _located(window: int, phrase: int, bits: int):
                     machine.add_word(symbols[2 * j : 2 * (j + phrase)])
         if known:
             machine.make_automaton()
-        for part in text if known else []:
-            h, offsets, _, _ = words.hashed(part.column("text"))
-            symbols, rows = _symbols(h), part.select(["sequence", "doc_id", "text"]).to_pylist()
-            for k, row in enumerate(rows):
-                s, e = int(offsets[k]), int(offsets[k + 1])
-                ends = np.fromiter((x for x, _ in machine.iter(symbols[2 * s : 2 * e])), np.int64)
-                if not len(ends):
-                    continue
-                grams, m = anchors(h[s:e], window, phrase)
-                here = np.full(len(grams), np.iinfo(np.uint64).max, np.uint64)
-                places = (ends + 1) // 2 - phrase
+        for part, h, offsets, begin, end in text if known else []:
+            symbols, data = _symbols(h), words.raw(part.column("text"))[0]
+            grams, m = anchors(h, window, phrase)
+            here = np.full(len(grams), np.iinfo(np.uint64).max, np.uint64)
+            for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                places = np.fromiter((x for x, _ in machine.iter(symbols[2 * s : 2 * e])), np.int64)
+                places = s + (places + 1) // 2 - phrase
                 here[places] = grams[places]
-                starts = np.flatnonzero(least(here, window - phrase + 1) == m)
-                if len(starts):
-                    for column, value in zip(out, (row["sequence"], row["doc_id"], " ".join(_WORDS.findall(row["text"])), starts.astype("<i4").tobytes(), words.runs(h[s:e], window)[starts].tobytes()), strict=True):
-                        column.append(value)
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["sequence", "doc_id", "words", "starts", "hashes"])
+            of = words.segments(offsets)[: len(m)]
+            at = np.flatnonzero((least(here, window - phrase + 1) == m) & (np.arange(len(m)) + window <= offsets[of + 1]))
+            hashes = words.runs(h, window)
+            cuts = np.searchsorted(at, offsets)
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                s, e, starts = offsets[k], offsets[k + 1], at[cuts[k] : cuts[k + 1]]
+                whole = words.joined(data, np.array([0, e - s]), begin[s:e], end[s:e])[0]
+                for column, value in zip(out, (part.column("sequence")[k].as_py(), part.column("doc_id")[k].as_py(), whole.tobytes(), (starts - s).astype("<i4").tobytes(), hashes[starts].tobytes()), strict=True):
+                    column.append(value)
+        done = pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["sequence", "doc_id", "words", "starts", "hashes"])
+        del out, text, known, machine
+        tidy()
+        return done.set_column(2, "words", done.column("words").cast(pa.string()))
 
     return run
 
@@ -251,31 +285,31 @@ def _cut(window: int):
     return run
 
 
-def cleaned(df: DataFrame, window: int = 20, phrase: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(rows, texts): rows have doc_id, n, sequence, digest of all words and is_copy; texts have sequence, n_removed and the kept words of those distinct texts that lose some."""
+def cleaned(df: DataFrame, window: int = 20, phrase: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, counts, texts): rows have doc_id, n, sequence (null where there is no window), digest of all words and is_copy; counts (sequence, c) how many rows hold a text; texts have sequence, n_removed and the kept words of those distinct texts that lose some."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     meta = written(docs.mapInArrow(_measured(window), "doc_id long, n long, sequence long, digest string"))
     place = F.coalesce("doc_id", F.lit(_LAST))
-    first = meta.groupBy("sequence").agg(F.min(place).alias("first_id"))
-    rows = meta.join(first, "sequence").withColumn("is_copy", (place > F.col("first_id")) & (F.col("n") >= window)).drop("first_id")
+    first = written(meta.filter("sequence is not null").groupBy("sequence").agg(F.min(place).alias("first_id"), F.count("*").alias("c")))
+    rows = attached(meta, first, first.drop("c"), "sequence").withColumn("is_copy", F.coalesce(place > F.col("first_id"), F.lit(False))).drop("first_id")
     total = meta.agg(F.sum("n")).first()[0] or 0
     shards = max(partitions_for(df), total // 1_000_000, 1)
     bits = max(8, (total >> 22).bit_length())
-    slices = docs.mapInArrow(_sliced(window, phrase, bits), "slice int, heads binary").groupBy("slice").applyInArrow(_recurring(shards), "shard int, heads binary")
+    slices = docs.mapInArrow(_sliced(window, phrase, bits, shards), "key long, heads binary").groupBy("key").applyInArrow(_recurring(shards, bits), "shard int, heads binary")
     texts = docs.mapInArrow(_texts(window, shards), "shard int, sequence long, doc_id long, text string")
     found = texts.groupBy("shard").cogroup(slices.groupBy("shard")).applyInArrow(_located(window, phrase, bits), "sequence long, doc_id long, words string, starts binary, hashes binary")
     found = written(found)
     windows = found.select("sequence", "doc_id", "starts", "hashes").mapInArrow(_rows, "hash long, doc_id long, start int, sequence long")
     earliest = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "sequence", "start")).alias("e")).select("e.sequence", "e.start").groupBy("sequence").agg(F.collect_list("start").alias("earliest"))
     texts = found.select("sequence", "words", "starts").join(earliest, "sequence", "left").mapInArrow(_cut(window), "sequence long, n_removed long, kept string")
-    return rows, texts
+    return rows, first.select("sequence", "c"), texts
 
 
 def digest(df: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
-    rows, texts = cleaned(df, **options)
+    rows, counts, texts = cleaned(df, **options)
     own = texts.select("sequence", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
-    out = rows.join(own, "sequence", "left")
+    out = attached(rows, counts, own, "sequence")
     copy = F.col("is_copy")
     return out.select(
         "doc_id",
