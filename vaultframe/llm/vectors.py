@@ -34,10 +34,14 @@ def asked(vectors: DataFrame, all_distinct: DataFrame, query: Column) -> tuple[D
     return once, names
 
 
-def by_dimension(df: DataFrame, per: float, most: int, scale: int = 0) -> tuple[Column, int]:
-    """(parts for each dimension so that none has much over `most` rows, the largest number of parts). A row counts `per` times, divided, with a scale, by as many buckets as scale times the dimension."""
-    counts = {r.dim: r.n for r in df.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row for each dimension
-    parts = {d: max(1, math.ceil(n * per / (scale * d or 1) / most)) for d, n in counts.items()}
+def sizes(df: DataFrame) -> dict[int, int]:
+    """How many rows each dimension has."""
+    return {r.dim: r.n for r in df.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row for each dimension
+
+
+def by_dimension(df: DataFrame, most: int) -> tuple[Column, int]:
+    """(parts for each dimension so that none has much over `most` rows, the largest number of parts)."""
+    parts = {d: max(1, math.ceil(n / most)) for d, n in sizes(df).items()}
     return F.coalesce(*(F.when(F.col("dim") == d, k) for d, k in parts.items()), F.lit(1)).cast("int"), max(parts.values(), default=1)
 
 
@@ -49,9 +53,19 @@ def blocks(asked: DataFrame, data: DataFrame, cuts: tuple[Column, int], own_cuts
     return asked, data.withColumn("asked_cut", F.explode(F.sequence(F.lit(0), own_cuts[0] - 1)) if own_cuts[1] > 1 else F.lit(0))
 
 
-def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+def matrix(column: pa.ChunkedArray | pa.Array, dim: int, kind: type = np.float64) -> np.ndarray:
+    """Vectors as a matrix, from lists or from bytes (see packed)."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), dim)
+    if not pa.types.is_binary(flat.type):
+        return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), dim)
+    begin = np.frombuffer(flat.buffers()[1], np.int32, 1, 4 * flat.offset)[0]
+    return np.frombuffer(flat.buffers()[2], kind, len(flat) * dim, int(begin)).reshape(len(flat), dim)
+
+
+def packed(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix of eight-byte numbers as bytes: the JVM copies them whole."""
+    at = np.arange(len(x) + 1, dtype=np.int32) * np.int32(8 * x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(x))])
 
 
 def best(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
