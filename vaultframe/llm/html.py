@@ -17,8 +17,11 @@ Unclosed, misnested and cut-off markup is read as far as it goes; time and memor
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import unescape
+from itertools import islice
 from math import log1p
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,7 +61,6 @@ OUTSIDE = 0.05
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.I)
-_TAG_OF = re.compile(r"[^.#]*")
 _PARTS = re.compile(r"[A-Za-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，،]")
 
@@ -72,164 +74,219 @@ def _names(attributes: str, tag: str) -> tuple[str, set[str], bool]:
     return "".join(f"{'#' if k == 'id' else '.'}{v.replace('/', '|')}" for k, v in found), marks, bool(_HIDDEN.search(attributes))
 
 
-def _void(found: list[tuple[str, bool, int, str, int, tuple[int, ...], int]], words: dict[int, set[str]]) -> set[int]:
-    """Those of the marked elements (named by place, with their words) that are apart indeed."""
-    if not words:
-        return set()
-    total, held, articles = 0, dict.fromkeys(words, 0), {}
-    for _, apart, _, text, _, marks, article in found:
-        total += len(text)
-        if not apart:
-            for k in marks:
-                held[k] += len(text)
-            if article:
-                articles[article] = articles.get(article, 0) + len(text)
+class Tree:
+    """Numbered nodes, each after its parent: root-to-leaf paths of a page, or its marked elements. Node 0 is the root."""
+
+    def __init__(self):
+        self.parents, self.labels = [0], [""]
+
+    def add(self, parent: int, label) -> int:
+        self.parents.append(parent)
+        self.labels.append(label)
+        return len(self.parents) - 1
+
+    def above(self, node: int) -> Iterator[int]:
+        while node:
+            yield node
+            node = self.parents[node]
+
+
+class Block(NamedTuple):
+    """A block of text: its path, whether it is apart, 1 in an article and 2 in a main element, the text, how much of it is linked."""
+
+    path: int
+    apart: bool
+    main: int
+    text: str
+    linked: int
+    mark: int = 0
+    article: int = 0
+
+
+class Open(NamedTuple):
+    """An open element: what Block says of its text, the place on the stack of the nearest element that holds paragraphs, whether it is in a link."""
+
+    tag: str
+    path: int
+    apart: bool
+    main: int
+    mark: int
+    article: int
+    holds: int
+    link: bool
+
+
+def _void(found: list[Block], marks: Tree) -> list[bool]:
+    """Of each marked element, whether it or one around it is apart indeed."""
+    held, articles, total = [0] * len(marks.parents), {}, 0
+    for b in found:
+        total += len(b.text)
+        if not b.apart:
+            held[b.mark] += len(b.text)
+            if b.article:
+                articles[b.article] = articles.get(b.article, 0) + len(b.text)
+    for k in range(len(held) - 1, 0, -1):
+        held[marks.parents[k]] += held[k]
     largest = max(articles, key=articles.get, default=0)
-    around = next((set(marks) for _, apart, _, _, _, marks, article in found if article == largest and not apart), set()) if largest else set()
-    out = set()
-    for k, n in held.items():
-        if k in around and k < largest:
-            continue
-        if n < (COMMENT_WRAPPER if words[k] & COMMENT_MARKS else WRAPPER) * total or n < TIMES_ARTICLE * articles.get(largest, 0):
-            out.add(k)
+    around = next((set(marks.above(b.mark)) for b in found if b.article == largest and not b.apart), set()) if largest else set()
+    out = [False] * len(held)
+    for k in range(1, len(held)):
+        place, words = marks.labels[k]
+        wrapper = k in around and place < largest
+        small = held[k] < (COMMENT_WRAPPER if words & COMMENT_MARKS else WRAPPER) * total or held[k] < TIMES_ARTICLE * articles.get(largest, 0)
+        out[k] = out[marks.parents[k]] or (small and not wrapper)
     return out
 
 
-def blocks(html: str) -> list[tuple[str, bool, int, str, int]]:
-    """(path, apart, 1 in an article and 2 in a main element, text, linked length) of every block, in page order."""
-    # tag, path, apart whatever it holds, main, marked elements around and outermost article or main element that is not marked (by place)
-    stack: list[tuple[str, str, bool, int, tuple[int, ...], int]] = [("", "", False, 0, (), 0)]
-    out: list[tuple[str, bool, int, str, int, tuple[int, ...], int]] = []
-    words: dict[int, set[str]] = {}
-    buffer: list[str] = []
-    place = stack[0]
-    linked = at = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if buffer:
-            if text := " ".join(unescape("".join(buffer)).split()):
-                out.append((place[1], place[2], place[3], text, linked, place[4], place[5]))
-            buffer.clear()
-        linked = 0
-
-    def add(text: str) -> None:
-        nonlocal place, linked
+class Reader:
+    """Reads a page into blocks. The stack of open elements knows the places of each kind, so that no tag has to walk it."""
+
+    def __init__(self):
+        self.paths, self.marks = Tree(), Tree()
+        self.stack, self.places = [Open("", 0, False, 0, 0, 0, 0, False)], {}
+        self.known: dict[tuple[int, str], int] = {}
+        self.found: list[Block] = []
+        self.buffer: list[str] = []
+        self.place, self.linked = self.stack[0], 0
+
+    def last(self, tags) -> int:
+        """The place on the stack of the innermost open element of some kinds, 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+
+    def flush(self) -> None:
+        if self.buffer:
+            if text := " ".join(unescape("".join(self.buffer)).split()):
+                p = self.place
+                self.found.append(Block(p.path, p.apart, p.main, text, self.linked, p.mark, p.article))
+            self.buffer.clear()
+        self.linked = 0
+
+    def add(self, text: str) -> None:
         if not text:
             return
-        top = stack[-1]
-        if buffer and top[2:5] != place[2:5]:
-            if (top[2] and not place[2]) or len(top[4]) > len(place[4]):
+        top, place = self.stack[-1], self.place
+        if self.buffer and (top.apart, top.main, top.mark) != (place.apart, place.main, place.mark):
+            if (top.apart and not place.apart) or top.mark > place.mark:
                 return  # an inline part apart is left out of its block
-            flush()
-        if not buffer:
-            place = top
-        buffer.append(text)
-        if any(s[0] == "a" for s in stack[-4:]):
-            linked += len(text)
-
-    end = len(html)
-    while at < end:
-        m = _TAG.search(html, at)
-        add(html[at : m.start() if m else end])
-        if not m:
-            break
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
-        if tag in BLOCK:
-            flush()
-        if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if stack[k][0] in MAIN and tag not in ("html", "body"):
-                    break  # an end tag does not reach out of an article
-            continue
-        if tag in VOID:
-            continue
-        if tag in _INLINE_BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in HOLDS_P:
-                    break
+            self.flush()
+        if not self.buffer:
+            self.place = top
+        self.buffer.append(text)
+        if top.link:
+            self.linked += len(text)
+
+    def end(self, tag: str) -> None:
+        at = self.last((tag,))
+        if at and (tag in ("html", "body") or at >= self.last(MAIN)):  # an end tag does not reach out of an article
+            self.close(at)
+
+    def start(self, tag: str, attributes: str, place: int) -> None:
+        if tag in _INLINE_BLOCK and (at := self.last("p")) > self.stack[-1].holds:
+            self.close(at)
         if tag in CLOSES:
             shut, hold = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in shut:
-                    del stack[k:]
-                    break
-                if stack[k][0] in hold:
-                    break
+            if (at := self.last(shut)) > self.last(hold):
+                self.close(at)
         name, marked, hidden = _names(attributes, tag)
-        above = stack[-1]
-        apart = above[2] or tag in APART or (tag == "header" and not above[3]) or (hidden and tag not in ("html", "body"))
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
-            at = close.start() if close else end
-            if close:
-                at = html.find(">", at) + 1 or end
-            continue
-        if not attributes.rstrip().endswith("/") or tag in BLOCK:
-            marks = above[4]
-            if marked and tag not in ("html", "body"):
-                words[m.start() + 1] = marked
-                marks += (m.start() + 1,)
-            stack.append((tag, f"{above[1]}/{tag}{name}", apart, max(above[3], MAIN.get(tag, 0)), marks, above[5] or (m.start() + 1 if tag in MAIN and not marked else 0)))
-    flush()
-    void = _void(out, words)
-    return [(path, apart or not void.isdisjoint(marks), main, text, linked) for path, apart, main, text, linked, marks, _ in out]
-
-
-def _outside(found: list[tuple[str, bool, int, str, int]]) -> float:
+        above = self.stack[-1]
+        apart = above.apart or tag in APART or (tag == "header" and not above.main) or (hidden and tag not in ("html", "body"))
+        if attributes.rstrip().endswith("/") and tag not in BLOCK:
+            return
+        mark = self.marks.add(above.mark, (place, marked)) if marked and tag not in ("html", "body") else above.mark
+        path = self.known.get((above.path, tag + name)) or self.known.setdefault((above.path, tag + name), self.paths.add(above.path, tag))
+        article = above.article or (place if tag in MAIN and not marked else 0)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(Open(tag, path, apart, max(above.main, MAIN.get(tag, 0)), mark, article, len(self.stack) if tag in HOLDS_P else above.holds, above.link or tag == "a"))
+
+    def read(self, html: str) -> list[Block]:
+        at, end = 0, len(html)
+        while at < end:
+            m = _TAG.search(html, at)
+            self.add(html[at : m.start() if m else end])
+            if not m:
+                break
+            at = m.end()
+            closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            if not tag:
+                continue
+            tag = tag.lower()
+            if tag in BLOCK:
+                self.flush()
+            if closing:
+                self.end(tag)
+            elif tag in RAW:
+                self.start(tag, attributes + "/", m.start())  # what it closes is closed; it holds no text of the page
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+                at = close.start() if close else end
+                if close:
+                    at = html.find(">", at) + 1 or end
+            elif tag not in VOID:
+                self.start(tag, attributes, m.start() + 1)
+        self.flush()
+        void = _void(self.found, self.marks)
+        return [b._replace(apart=b.apart or void[b.mark]) for b in self.found]
+
+
+def blocks(html: str) -> tuple[list[Block], Tree]:
+    """(the blocks of a page in its order, its paths)."""
+    reader = Reader()
+    return reader.read(html), reader.paths
+
+
+def _outside(found: list[Block]) -> float:
     """The factor of paths outside of article and main elements: 1 on pages without text in any. A page has one main element, so that little text in it says more than in an article."""
     total = main = article = 0
-    for _, apart, inside, text, _ in found:
-        if not apart:
-            total += len(text)
-            if inside == 2:
-                main += len(text)
-            elif inside:
-                article += len(text)
+    for b in found:
+        if not b.apart:
+            total += len(b.text)
+            if b.main == 2:
+                main += len(b.text)
+            elif b.main:
+                article += len(b.text)
     return max(OUTSIDE, ((1 - (main / total) ** 0.125) * (1 - article / total)) ** 2) if main or article else 1.0
 
 
-def selected(found: list[tuple[str, bool, int, str, int]]) -> list[str]:
-    """Texts of the blocks whose path is content."""
+def scores(found: list[Block], paths: Tree) -> tuple[dict[int, float], dict[int, bool]]:
+    """(fused score of each path's ratios, whether at least half of its text is linked)."""
     outside = _outside(found)
-    sums: dict[str, list[float]] = {}
-    for path, apart, main, text, linked in found:
-        if not apart:
-            s = sums.setdefault(path, [0, 0, 0, 0, main])
+    sums: dict[int, list[float]] = {}
+    for b in found:
+        if not b.apart:
+            s = sums.setdefault(b.path, [0, 0, 0, 0, b.main])
             s[0] += 1
-            s[1] += len(text)
-            s[2] += len(_PUNCTUATION.findall(text))
-            s[3] += min(linked, len(text))
+            s[1] += len(b.text)
+            s[2] += len(_PUNCTUATION.findall(b.text))
+            s[3] += min(b.linked, len(b.text))
     ratio = {p: log1p(n / k) + log1p(marks / k) for p, (k, n, marks, _, _) in sums.items()}
-    by_parent: dict[str, list[float]] = {}
+    by_parent: dict[int, list[float]] = {}
     for p, r in ratio.items():
-        by_parent.setdefault(p.rpartition("/")[0], []).append(r)
+        by_parent.setdefault(paths.parents[p], []).append(r)
     means = {p: sum(x) / len(x) for p, x in by_parent.items()}
-    fused = {p: (2 * r + means[p.rpartition("/")[0]]) / 3 * (1 - sums[p][3] / sums[p][1]) * (1 if sums[p][4] else outside) for p, r in ratio.items()}
+    fused = {p: (2 * r + means[paths.parents[p]]) / 3 * (1 - sums[p][3] / sums[p][1]) * (1 if sums[p][4] else outside) for p, r in ratio.items()}
+    return fused, {p: 2 * s[3] >= s[1] for p, s in sums.items()}
+
+
+def selected(found: list[Block], paths: Tree) -> list[str]:
+    """Texts of the blocks whose path is content."""
+    fused, links = scores(found, paths)
     best = max(fused.values(), default=0)
-    own = [b for b in found if not b[1]]
-    passed = [fused[b[0]] >= CUT * best for b in own]
-    beside = [2 * sums[b[0]][3] < sums[b[0]][1] and any(_TAG_OF.match(x)[0] in BESIDE for x in b[0].split("/")[-3:]) for b in own]
+    own = [b for b in found if not b.apart]
+    passed = [fused[b.path] >= CUT * best for b in own]
+    beside = [not links[b.path] and any(paths.labels[p] in BESIDE for p in islice(paths.above(b.path), 3)) for b in own]
     for places in (range(1, len(own)), range(len(own) - 2, -1, -1)):
         for k in places:
             near = k - places.step
-            if beside[k] and passed[near] and bool(own[k][2]) == bool(own[near][2]):
+            if beside[k] and passed[near] and bool(own[k].main) == bool(own[near].main):
                 passed[k] = True
-    return [b[3] for b, p in zip(own, passed, strict=True) if p]
+    return [b.text for b, p in zip(own, passed, strict=True) if p]
 
 
 def main_text(html: str | None) -> str:
-    return "\n".join(selected(blocks(html))) if html else ""
+    return "\n".join(selected(*blocks(html))) if html else ""
 
 
 @F.arrow_udf(StringType())
