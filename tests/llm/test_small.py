@@ -211,6 +211,17 @@ def test_pivots_stop_early():
     assert at.tolist() == np.lexsort((np.arange(5000), -s))[:6].tolist() and scores.tolist() == s[at].tolist() and done < 2500
 
 
+def test_pivots_give_a_threshold():
+    rng = np.random.default_rng(5)
+    x = np.floor(256 * rng.normal(size=(3000, 6)))
+    pivots = x[:64]
+    away = np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], 1)
+    for k in range(0, 3000, 300):
+        s = np.sort(x @ x[k])[::-1]
+        least = topk.threshold(x[k], away[k], (pivots * pivots).sum(1))
+        assert least <= s[5] and least >= np.sort(pivots @ x[k])[-6] - 2
+
+
 def test_ann(spark):
     rows = vector_rows()
     def cosine(a, b):
@@ -235,6 +246,36 @@ def test_ann_of_few_vectors(spark, dim, n):
         assert len({i for i, _ in got[q]}) == min(5, n - 1) and all(s == pytest.approx(score[i]) for i, s in got[q])
 
 
+@pytest.mark.parametrize(("part", "per"), [(4096, 25), (8, 25), (16, 8)])
+def test_ann_of_many_buckets(spark, part, per):
+    """Recall as the query runs it, with 64 dimensions, and with crowded buckets cut to parts; answers stay exact cosines."""
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=64)
+    x = np.float32(np.concatenate([rng.normal(size=(1500, 64)), centre + 0.1 * rng.normal(size=(500, 64))]))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = answers(ann.search(table_of(spark, rows), F.col("vec_id") % 50 == 0, part=part, per=per))
+    wide = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    hits = 0
+    for q in range(0, 2000, 50):
+        s = wide @ wide[q]
+        s[q] = -9
+        hits += len({i for i, _ in got[q]} & set(np.argsort(-s, kind="stable")[:5].tolist()))
+        assert len(got[q]) == 5 and all(v == pytest.approx(s[i]) for i, v in got[q])
+    assert hits >= 0.9 * 200
+
+
+def test_ann_recall_on_table(spark):
+    from vaultframe.llm.queries import op3_neighbours
+
+    sf = "/root/testdata/sf0.01"
+    got = answers(op3_neighbours(spark, sf))
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    sound = [(i, np.array(v, float)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    ids, x = np.array([i for i, _ in sound]), np.array([v / np.linalg.norm(v) for _, v in sound])
+    hits = [len({i for i, _ in got[q]} & set(ids[np.argsort(-np.where(ids == q, -9, x @ x[k]), kind="stable")[:5]].tolist())) for k, q in enumerate(ids.tolist()) if q % 50 == 0]
+    assert np.mean(hits) >= 4.5
+
+
 @pytest.mark.parametrize("search", [ann.search, topk.search])
 def test_repeated_rows(spark, search):
     rng = np.random.default_rng(8)
