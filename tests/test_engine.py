@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import io
+import itertools
 import os
 import random
 
@@ -26,26 +27,79 @@ def ends(spark, *values, stream="s"):
     return spark.createDataFrame([(stream, k, e, f"{k:064x}") for k, e in enumerate(values)], "stream string, pos long, end_offset long, digest string")
 
 
+def scanned(bounds, offset):
+    """The first chunk whose end is above an offset, by looking at each."""
+    return next((k for k, e in enumerate(bounds) if e > offset), None)
+
+
 def test_chunk_of_dynamic(spark):
-    points = spark.createDataFrame([("s", o) for o in (0, 999, 1000, 3499, 3500, 9999, 10000)], "stream string, offset long")
-    for bucket in (512, 1 << 22):
-        got = {r.offset: r.pos for r in index.chunk_of(points, ends(spark, 1000, 3500, 10000), bucket).collect()}
-        assert got == {0: 0, 999: 0, 1000: 1, 3499: 1, 3500: 2, 9999: 2, 10000: None}
+    rnd = random.Random(3)
+    bounds = list(itertools.accumulate(rnd.randint(1, 5000) for _ in range(40)))
+    probes = sorted({p for e in bounds for p in (e - 1, e, e + 1)} | {0, bounds[-1] + 99})
+    points = spark.createDataFrame([("s", o) for o in probes], "stream string, offset long")
+    for bucket in (700, 1 << 22):
+        got = {r.offset: r.pos for r in index.chunk_of(points, ends(spark, *bounds), bucket).collect()}
+        assert got == {o: scanned(bounds, o) for o in probes}
 
 
 def test_chunk_of_fixed(spark):
-    size = 10 << 20
-    bounds = index.fixed_bounds(spark.createDataFrame([("s", size)], "stream string, total long"), 65536)
-    points = spark.createDataFrame([("s", o) for o in (0, 65535, 65536, 131072, size - 1, size)], "stream string, offset long")
-    assert {r.offset: r.pos for r in index.chunk_of(points, bounds).collect()} == {0: 0, 65535: 0, 65536: 1, 131072: 2, size - 1: 159, size: None}
-    tail = index.fixed_bounds(spark.createDataFrame([("a", 100), ("b", 0)], "stream string, total long"), 64)
-    assert rows(tail, "stream", "start_offset", "end_offset") == [("a", 0, 64), ("a", 64, 100)]
-
-
-@pytest.mark.parametrize(("size", "want"), [(500, [(0, 16, 516, False)]), (1500, [(0, 16, 1000, False), (1, 1000, 1516, False)]), (0, []), (1984, [(0, 16, 1000, False), (1, 1000, 2000, True)])])
-def test_file_ranges(spark, size, want):
-    files = spark.createDataFrame([("s", 0, size)], "stream string, payload_offset long, size long")
-    assert rows(index.file_ranges(files, ends(spark, 1000, 2000), 512), "chunk_index", "content_start", "content_end", "is_full_chunk") == want
+    size, chunk = 3_000_007, 48_611
+    bounds = index.fixed_bounds(spark.createDataFrame([("s", size)], "stream string, total long"), chunk)
+    probes = [*range(0, size, 9973), chunk - 1, chunk, size - 1, size]
+    points = spark.createDataFrame([("s", o) for o in probes], "stream string, offset long")
+    assert {r.offset: r.pos for r in index.chunk_of(points, bounds).collect()} == {o: o // chunk if o < size else None for o in probes}
+    tail = index.fixed_bounds(spark.createDataFrame([("a", 70), ("b", 0), ("c", 60)], "stream string, total long"), 30)
+    assert rows(tail, "stream", "start_offset", "end_offset") == [("a", 0, 30), ("a", 30, 60), ("a", 60, 70), ("c", 0, 30), ("c", 30, 60)]
+
+
+def test_file_ranges(spark):
+    rnd = random.Random(5)
+    bounds = list(itertools.accumulate(rnd.randint(1, 900) for _ in range(30)))
+    files, at = [], 0
+    while at + 16 < bounds[-1]:
+        size = min(rnd.choice([0, 1, 40, 900, 2500]), bounds[-1] - at - 16)
+        files.append(("s", at, size))
+        at += 16 + size
+    want = []
+    for _, place, size in files:
+        for k, (a, b) in enumerate(zip([0, *bounds], bounds, strict=False)):
+            low, high = max(a, place + 16), min(b, place + 16 + size)
+            if low < high:
+                want.append((place, k, low, high, low == a and high == b))
+    got = index.file_ranges(spark.createDataFrame(files, "stream string, payload_offset long, size long"), ends(spark, *bounds), 512)
+    assert rows(got, "payload_offset", "chunk_index", "content_start", "content_end", "is_full_chunk") == sorted(want)
+
+
+def test_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(index, "RANGE", 7)
+    rnd = random.Random(9)
+    data = [(s, p, rnd.randint(0, 50)) for s in ("a", "b") for p in rnd.sample(range(200), 60)]
+    chunks = spark.createDataFrame(data, "stream string, pos long, size long")
+    want = []
+    for s in ("a", "b"):
+        at = 0
+        for _, p, n in sorted(x for x in data if x[0] == s):
+            want.append((s, p, at, at + n))
+            at += n
+    assert rows(index.with_ends(chunks), "stream", "pos", "start_offset", "end_offset") == want
+    back = index.with_starts(index.with_ends(chunks).drop("start_offset"))
+    assert rows(back, "stream", "pos", "start_offset", "end_offset") == want
+
+
+def test_long_index_checksum(spark):
+    n = 200_000
+    entries = spark.range(n).select(F.lit("s").alias("stream"), F.col("id").alias("pos"), (F.col("id") + 1).alias("end_offset"), F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    body = b"".join((k + 1).to_bytes(8, "little") + hashlib.sha256(str(k).encode()).digest() for k in range(n))
+    assert index.checksum(entries).first().csum == hashlib.sha256(body).hexdigest()
+
+
+def test_look_ups_that_fail(spark):
+    entries = spark.createDataFrame([("/a/b", 5, 100)], "path string, size long, file_offset long")
+    asked = spark.createDataFrame([(1, "/a/b"), (2, "/a/c")], "pos long, path string")
+    assert catalog.found(entries, asked.filter("pos = 1")).first()["size"] == 5
+    with pytest.raises(Exception, match="no such entry: /a/c"):
+        catalog.found(entries, asked).collect()
+    assert rows(catalog.at_offset(entries, spark.createDataFrame([(100,), (101,)], "file_offset long")).fillna(-1), "file_offset", "size") == [(100, 5), (101, -1)]
 
 
 def test_restore(spark):

@@ -61,6 +61,22 @@ def look_up(entries: DataFrame, paths: DataFrame) -> DataFrame:
     return paths.join(entries, "path", "left")
 
 
+def found(entries: DataFrame, paths: DataFrame) -> DataFrame:
+    """As look_up, but a path without an entry fails."""
+    own = entries.withColumn("__there", F.lit(True))
+    return look_up(own, paths).withColumn("path", F.when(F.col("__there"), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("no such entry: "), "path")))).drop("__there")
+
+
+def children_named(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each (parent, name) the entry of that name in that directory; nulls where there is none."""
+    return asked.join(entries.withColumns({"parent": S.parent_of("path"), "name": S.base_name("path")}), ["parent", "name"], "left")
+
+
+def at_offset(entries: DataFrame, offsets: DataFrame) -> DataFrame:
+    """For each file_offset the entry that begins there; an offset inside an entry finds nothing."""
+    return offsets.join(entries, "file_offset", "left")
+
+
 def nth(entries: DataFrame, key: str, n: int, by: str) -> DataFrame:
     """The n-th (from 0) entry of each key."""
     return entries.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(by))).filter(F.col("__k") == n + 1).drop("__k")

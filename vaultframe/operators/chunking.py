@@ -87,19 +87,20 @@ def fixed(streams: DataFrame, size: int) -> DataFrame:
     return rows.select("stream", F.col("pos").cast("long").alias("pos"), F.col("start").cast("long").alias("start_offset"), (F.col("start") + F.octet_length(blob)).cast("long").alias("end_offset"), F.octet_length(blob).cast("long").alias("size"), F.sha2(blob, 256).alias("digest"), blob.alias("blob"))
 
 
-def content_defined(streams: DataFrame, config: Config) -> DataFrame:
-    """Content-defined chunks of (stream, data): pos, bounds, digest and blob."""
+def content_defined(streams: DataFrame, config: Config, table: np.ndarray = TABLE) -> DataFrame:
+    """Content-defined chunks of (stream, data): pos, bounds, digest and blob. table: 256 numbers of 32 bits by byte; stores chunked with another table need that one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: list[list] = [[], [], [], [], [], []]
             for stream, data in zip(batch.column("stream").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                ends = boundaries(data or b"", config)
+                ends = boundaries(data or b"", config, table)
                 starts = [0, *ends[:-1]] if ends else []
                 blobs = [data[a:b] for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([stream] * len(ends), pa.string()), pa.array(range(len(ends)), pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array([len(b) for b in blobs], pa.int64()), pa.array(blobs, pa.binary())],
-                    ["stream", "pos", "start_offset", "end_offset", "size", "blob"],
-                )
+                for column, values in zip(out, ([stream] * len(ends), range(len(ends)), starts, ends, map(len, blobs), blobs), strict=True):
+                    column.extend(values)
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["stream", "pos", "start_offset", "end_offset", "size", "blob"])
 
     got = streams.select(F.col("stream").cast("string").alias("stream"), "data").mapInArrow(run, "stream string, pos long, start_offset long, end_offset long, size long, blob binary")
     return got.select("stream", "pos", "start_offset", "end_offset", "size", F.sha2("blob", 256).alias("digest"), "blob")

@@ -6,7 +6,7 @@ exact predicate is checked, and a pair counts in the first bucket that both touc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultframe.functions import scalars as S
@@ -16,15 +16,36 @@ BUCKET = 1 << 22
 HEADER = 16
 
 
+#: Positions of a range: running sums add up ranges first and then go on within each, so that no task sorts a whole stream.
+RANGE = 1 << 16
+
+
+def _ranged(df: DataFrame, total: Column, found: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with the range of their position, for each range the total of all before it as `found`)."""
+    rows = df.withColumn("__r", F.floor(F.col("pos") / RANGE))
+    before = Window.partitionBy("stream").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    of_ranges = rows.groupBy("stream", "__r").agg(total.alias("__t"))
+    return rows, of_ranges.select("stream", "__r", (F.max("__t") if found == "__last" else F.sum("__t")).over(before).alias(found))
+
+
+def running(df: DataFrame, value: Column, into: str) -> DataFrame:
+    """df (stream, pos) with the sum of a value up to and with each row, by two levels."""
+    rows, before = _ranged(df, F.sum(value), "__before")
+    within = Window.partitionBy("stream", "__r").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("__within", F.sum(value).over(within)).join(before, ["stream", "__r"])
+    return out.select(*df.columns, (F.coalesce("__before", F.lit(0)) + F.col("__within")).cast("long").alias(into))
+
+
 def with_ends(chunks: DataFrame) -> DataFrame:
     """chunks (stream, pos, size) with running start and end offsets."""
-    w = Window.partitionBy("stream").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return chunks.withColumn("end_offset", F.sum("size").over(w)).withColumn("start_offset", F.col("end_offset") - F.col("size"))
+    return running(chunks, F.col("size"), "end_offset").withColumn("start_offset", F.col("end_offset") - F.col("size"))
 
 
 def with_starts(index: DataFrame) -> DataFrame:
     """An index (stream, pos, end_offset) with start offsets: the end before, 0 at first."""
-    return index.withColumn("start_offset", F.coalesce(F.lag("end_offset").over(Window.partitionBy("stream").orderBy("pos")), F.lit(0)).cast("long"))
+    rows, before = _ranged(index, F.max("end_offset"), "__last")
+    own = F.lag("end_offset").over(Window.partitionBy("stream", "__r").orderBy("pos"))
+    return rows.withColumn("__own", own).join(before, ["stream", "__r"]).select(*index.columns, F.coalesce("__own", "__last", F.lit(0)).cast("long").alias("start_offset"))
 
 
 def fixed_bounds(streams: DataFrame, chunk_size: int) -> DataFrame:
@@ -35,8 +56,7 @@ def fixed_bounds(streams: DataFrame, chunk_size: int) -> DataFrame:
 
 def payload_places(files: DataFrame) -> DataFrame:
     """Files (stream, pos, size) with their payload_offset: each is a header and its bytes, after the stream's own header."""
-    w = Window.partitionBy("stream").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return files.withColumn("payload_offset", F.sum(F.col("size") + HEADER).over(w) - F.col("size"))
+    return running(files, F.col("size") + HEADER, "payload_offset").withColumn("payload_offset", F.col("payload_offset") - F.col("size"))
 
 
 def _bounded(index: DataFrame) -> DataFrame:
@@ -80,8 +100,8 @@ def file_ranges(files: DataFrame, index: DataFrame, bucket: int = BUCKET) -> Dat
 
 def joined(pieces: DataFrame, keys: list[str], order: str, data: str) -> DataFrame:
     """Bytes put together in order. A key's bytes meet in one row: for what a row can hold."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(data).alias("b")))), lambda x: x["b"])
-    return pieces.groupBy(*keys).agg(F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x)).alias("data"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(data).alias("b")))), lambda x: F.hex(x["b"]))
+    return pieces.groupBy(*keys).agg(F.unhex(F.array_join(parts, "")).alias("data"))  # linear in the bytes, unlike adding one piece after the other
 
 
 def restored(index: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Backups as plans over tables: full, and incremental by metadata."""
+"""Backups as plans over tables: full, incremental by metadata, and whole archives as chunked streams."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultframe.operators import catalog, chunking, dedup, diff, index
+from vaultframe.sources import archive
 
 
 @dataclass(frozen=True)
@@ -41,3 +42,30 @@ def incremental(entries: DataFrame, previous: DataFrame, previous_index: DataFra
     read = full(entries.join(changed, "path", "left_semi"), config, store)
     kept = previous_index.join(light.filter(F.col("kind") == "file").select(F.col("path").alias("stream")), "stream", "left_semi").join(changed.select(F.col("path").alias("stream")), "stream", "left_anti")
     return Backup(catalog.with_directories(light), read.index.unionByName(kept), read.new_chunks)
+
+
+#: Streams of an archive: the only one, or, split, that of metadata and that of file bytes.
+WHOLE, META, PAYLOAD = ".pxar", ".mpxar", ".ppxar"
+
+
+def archived(entries: DataFrame, key: str, config: chunking.Config, split: bool = False, store: DataFrame | None = None) -> Backup:
+    """Each archive of entries (by a key column) as one chunked stream, or as two with file bytes apart, so that metadata is read without them. Chunks that the store has are not written again."""
+    made = archive.archives(entries, key, split)
+    streams = made.select(F.concat(key, F.lit(META if split else WHOLE)).alias("stream"), F.col("archive").alias("data"))
+    if split:
+        streams = streams.union(made.select(F.concat(key, F.lit(PAYLOAD)), "payload"))
+    chunks = chunking.content_defined(streams, config)
+    new = dedup.to_insert(chunks, store) if store is not None else chunks.dropDuplicates(["digest"])
+    return Backup(entries.drop("content"), chunks.select("stream", "pos", "end_offset", "digest"), new.select("digest", "size", "blob"))
+
+
+def opened(backup_index: DataFrame, chunks: DataFrame, key: str, content: bool = True) -> DataFrame:
+    """Entries of chunked archives, split or not, from their index and the chunks. Without content no chunk of a payload stream is read."""
+    name = F.regexp_replace("stream", r"\.[mp]?pxar$", "").alias(key)
+    is_payload = F.col("stream").endswith(PAYLOAD)
+    main = index.restored(backup_index.filter(~is_payload), chunks).select(name, F.col("data").alias("archive"))
+    none = F.lit(None).cast("binary").alias("payload")
+    if not content:
+        return archive.entries_of(main.select(key, "archive", none), key, content=False)
+    pay = index.restored(backup_index.filter(is_payload), chunks).select(name, F.col("data").alias("payload"))
+    return archive.entries_of(main.join(pay, key, "left"), key)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from vaultframe.functions import codecs
 from vaultframe.functions import scalars as S
 from vaultframe.operators import catalog, chunking, dedup, diff, goodbye, index, manifest, snapshots, transfer
-from vaultframe.sources import archive
+from vaultframe.plans import backup
+from vaultframe.sources import archive, browse, indexes
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -127,14 +128,27 @@ def tree_walk(spark, d):
     return catalog.tree(regions.union(nations))
 
 
-_ASKED = "SELECT i::BIGINT AS pos, CASE WHEN i % 3 = 0 THEN '/none/' || i ELSE '/src' || (i % 20) || '/en/' || i || '.txt' END AS path FROM range(60) t(i)"
+_ASKED = f"SELECT doc_id AS pos, CASE WHEN doc_id % 3 = 0 THEN '/none/' || doc_id ELSE path END AS path FROM ({_FILES})"
 
 
 @query(f"SELECT a.pos, a.path, f.size FROM ({_ASKED}) a LEFT JOIN ({_FILES}) f ON a.path = f.path")
 def lookup_batch(spark, d):
-    i = F.col("id")
-    asked = spark.range(60).select(i.alias("pos"), F.when(i % 3 == 0, F.concat(F.lit("/none/"), i.cast("string"))).otherwise(F.concat(F.lit("/src"), (i % 20).cast("string"), F.lit("/en/"), i.cast("string"), F.lit(".txt"))).alias("path"))
-    return catalog.look_up(_files(spark, d).select("path", "size"), asked).select("pos", "path", "size")
+    files = _files(spark, d)
+    asked = files.select(F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/none/"), F.col("doc_id").cast("string"))).otherwise(F.col("path")).alias("path"))
+    return catalog.look_up(files.select("path", "size"), asked).select("pos", "path", "size")
+
+
+@query(f"SELECT doc_id AS pos, path, size FROM ({_FILES})")
+def lookup_found(spark, d):
+    files = _files(spark, d)
+    return catalog.found(files.select("path", "size"), files.select(F.col("doc_id").alias("pos"), "path")).select("pos", "path", "size")
+
+
+@query(f"SELECT a.dir AS parent, a.doc_id || CASE WHEN a.doc_id % 4 = 0 THEN '.no' ELSE '.txt' END AS name, CASE WHEN a.doc_id % 4 <> 0 THEN a.size END AS size FROM ({_FILES}) a")
+def child_lookup(spark, d):
+    files = _files(spark, d)
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 4 == 0, F.lit(".no")).otherwise(F.lit(".txt")))
+    return catalog.children_named(files.select("path", "size"), files.select(S.parent_of("path").alias("parent"), name.alias("name"))).select("parent", "name", "size")
 
 
 @query(f"SELECT path, size FROM ({_FILES}) WHERE source NOT IN ('src1', 'src3') AND dir <> '/src2/en'")
@@ -313,7 +327,7 @@ def merge_remap(spark, d):
 
 
 def _manifest_files(spark, d):
-    o = _t(spark, d, "orders").filter("o_orderkey % 5 = 0")
+    o = _t(spark, d, "orders")
     return o.select(
         F.lower("o_orderstatus").alias("backup_type"), (F.col("o_custkey") % 50).cast("string").alias("backup_id"), F.unix_seconds(F.date_trunc("month", "o_orderdate")).alias("backup_time"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".didx")).alias("filename"),
         F.lit("none").alias("crypt_mode"), F.floor("o_totalprice").cast("long").alias("size"), F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256).alias("csum"),
@@ -321,7 +335,7 @@ def _manifest_files(spark, d):
 
 
 _MANIFEST = """SELECT lower(o_orderstatus) AS backup_type, (o_custkey % 50)::VARCHAR AS backup_id, epoch(date_trunc('month', o_orderdate))::BIGINT AS backup_time, o_orderkey || '.didx' AS filename,
-    'none' AS crypt_mode, floor(o_totalprice)::BIGINT AS size, sha256(o_orderkey::VARCHAR) AS csum FROM orders WHERE o_orderkey % 5 = 0"""
+    'none' AS crypt_mode, floor(o_totalprice)::BIGINT AS size, sha256(o_orderkey::VARCHAR) AS csum FROM orders"""
 
 
 @query(_MANIFEST)
@@ -331,7 +345,7 @@ def manifest_json(spark, d):
 
 @query(f"""
     SELECT filename, CASE WHEN k % 35 = 0 THEN 'csum' WHEN k % 55 = 0 THEN 'size' WHEN k % 65 = 0 THEN 'missing' ELSE 'ok' END AS status
-    FROM (SELECT o_orderkey AS k, o_orderkey || CASE WHEN o_orderkey % 65 = 0 AND o_orderkey % 35 <> 0 AND o_orderkey % 55 <> 0 THEN '.x' ELSE '.didx' END AS filename FROM orders WHERE o_orderkey % 5 = 0)""")
+    FROM (SELECT o_orderkey AS k, o_orderkey || CASE WHEN o_orderkey % 65 = 0 AND o_orderkey % 35 <> 0 AND o_orderkey % 55 <> 0 THEN '.x' ELSE '.didx' END AS filename FROM orders)""")
 def manifest_verify(spark, d):
     files = _manifest_files(spark, d)
     k = F.substring_index("filename", ".", 1).cast("long")
@@ -409,10 +423,10 @@ def valid_names(spark, d):
     return _t(spark, d, "part").select("p_partkey", S.valid_component(names).alias("valid"))
 
 
-@query(f"SELECT link AS path, f.path AS target, f.size, 33188::BIGINT AS mode FROM (SELECT '/links/' || doc_id AS link, * FROM ({_FILES})) f WHERE doc_id % 10 = 0")
+@query(f"SELECT link AS path, f.path AS target, f.size, 33188::BIGINT AS mode FROM (SELECT '/links/' || doc_id AS link, * FROM ({_FILES})) f")
 def hard_links(spark, d):
     files = _files(spark, d).withColumn("mode", F.lit(33188).cast("long"))
-    links = files.filter("doc_id % 10 = 0").select(F.concat(F.lit("/links/"), F.col("doc_id").cast("string")).alias("path"), F.lit("hardlink").alias("kind"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("mode"), F.col("path").alias("link_target"))
+    links = files.select(F.concat(F.lit("/links/"), F.col("doc_id").cast("string")).alias("path"), F.lit("hardlink").alias("kind"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("mode"), F.col("path").alias("link_target"))
     return catalog.hard_links(files.select("path", "kind", "size", "mode").unionByName(links, allowMissingColumns=True))
 
 
@@ -495,3 +509,112 @@ def archive_roundtrip(spark, d):
 @query(_TREE)
 def archive_split_roundtrip(spark, d):
     return _read_back(spark, d, True)
+
+
+def _backup(spark, d, split):
+    return backup.archived(_tree(spark, d), "source", chunking.Config(4096), split)
+
+
+def _opened(b, content=True):
+    return backup.opened(b.index, b.new_chunks, "source", content)
+
+
+@query(_TREE)
+def chunked_archive(spark, d):
+    return _opened(_backup(spark, d, False)).select("source", "path", "kind", "size", F.sha2("content", 256).alias("digest"))
+
+
+@query(_TREE)
+def chunked_split_archive(spark, d):
+    return _opened(_backup(spark, d, True)).select("source", "path", "kind", "size", F.sha2("content", 256).alias("digest"))
+
+
+@query(f"SELECT source, path, kind, size FROM ({_TREE})")
+def chunked_metadata(spark, d):
+    b = _backup(spark, d, True)
+    light = b.index.filter(~F.col("stream").endswith(backup.PAYLOAD))
+    return backup.opened(light, b.new_chunks.join(light.select("digest"), "digest", "left_semi"), "source", content=False).select("source", "path", "kind", "size")
+
+
+@query(f"SELECT 0::BIGINT AS new_chunks, (SELECT count(DISTINCT source) * 2 FROM documents) AS streams")
+def split_backup_again(spark, d):
+    b = _backup(spark, d, True)
+    again = backup.archived(_tree(spark, d), "source", chunking.Config(4096), True, b.new_chunks)
+    return again.index.select("stream").unionByName(again.new_chunks.select("digest"), allowMissingColumns=True).agg(F.count("digest").alias("new_chunks"), F.count_distinct("stream").alias("streams"))
+
+
+@query(f"SELECT path AS stream, size AS bytes FROM ({_FILES}) WHERE size > 0")
+def incremental_backup(spark, d):
+    files = _files(spark, d).select("path", "kind", "size", F.lit(1).cast("long").alias("mtime_secs"), _bytes().alias("content"))
+    c, before = chunking.Config(1024), files.withColumn("mtime_secs", F.when(F.pmod(F.xxhash64("path"), F.lit(7)) == 0, 0).otherwise(1).cast("long"))
+    first = backup.full(before, c)
+    return index.totals(backup.incremental(files, before.drop("content"), first.index, c, first.new_chunks).index).select("stream", "bytes")
+
+
+@query(f"SELECT stream, pos, end_offset, digest FROM ({_INDEX})")
+def dynamic_index_file(spark, d):
+    return indexes.dynamic(indexes.dynamic_files(_index(spark, d), 1700000000))
+
+
+@query(f"SELECT stream, pos, end_offset, digest, {CHUNK}::BIGINT AS chunk_size, max(end_offset) OVER (PARTITION BY stream) AS total_size FROM ({_FIXED})")
+def fixed_index_file(spark, d):
+    return indexes.fixed(indexes.fixed_files(chunking.fixed(_streams(spark, d), CHUNK), CHUNK, 1700000000))
+
+
+@query(ORACLE_SQL["index_checksum"].replace("SELECT stream, sha256", "SELECT stream, 1700000000::BIGINT AS created, sha256", 1))
+def index_headers(spark, d):
+    return indexes.headers(indexes.dynamic_files(_index(spark, d), 1700000000)).select("stream", "created", "csum")
+
+
+@query(f"SELECT path, size, doc_id - 500 AS mtime FROM ({_FILES})")
+def browse_catalog(spark, d):
+    files = _files(spark, d).select(F.split("path", "/")[1].alias("source"), "path", "kind", "size", (F.col("doc_id") - 500).alias("mtime"))
+    return browse.rows(browse.catalogs(files, "source")).filter("kind = 'file'").select("path", "size", "mtime")
+
+
+@query(f"SELECT digest, count(*) AS n FROM (SELECT DISTINCT digest FROM ({_FIXED})) WHERE digest IN (SELECT digest FROM ({_FIXED}) WHERE stream::BIGINT % 2 = 0) GROUP BY digest")
+def chunks_referenced(spark, d):
+    chunks = chunking.fixed(_streams(spark, d), CHUNK).select("stream", "digest")
+    return dedup.referenced(chunks.select("digest").distinct(), chunks.filter(F.col("stream").cast("long") % 2 == 0)).groupBy("digest").agg(F.count("*").alias("n"))
+
+
+_PAD = [bytes(b ^ x for b in b"key".ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
+
+
+@query(f"SELECT doc_id, sha256(unhex('{_PAD[1]}') || unhex(sha256(unhex('{_PAD[0]}') || encode(text)))) AS mac FROM documents")
+def hmac_digest(spark, d):
+    return _t(spark, d, "documents").select("doc_id", codecs.hmac_sha256(_bytes(), b"key").alias("mac"))
+
+
+@query("SELECT p_partkey, regexp_replace(upper(sha256(p_name)), '(..)', '\\1:', 'g')[:95] AS print FROM part")
+def colon_digest(spark, d):
+    return _t(spark, d, "part").select("p_partkey", S.colon_hex(F.unhex(F.sha2(F.col("p_name").cast("binary"), 256))).alias("print"))
+
+
+@query("SELECT event_id, (n // 1000000000) - CASE WHEN n < 0 AND n % 1000000000 <> 0 THEN 1 ELSE 0 END AS secs, ((n % 1000000000) + 1000000000) % 1000000000 AS nanos, n FROM (SELECT event_id, (event_id - 100) * 123456789123 AS n FROM events)")
+def timestamps(spark, d):
+    e = _t(spark, d, "events").select("event_id", ((F.col("event_id") - 100) * 123456789123).alias("n"))
+    e = e.select("event_id", *S.from_nanos("n"))
+    return e.select("event_id", F.col("mtime_secs").alias("secs"), F.col("mtime_nanos").cast("long").alias("nanos"), S.to_nanos("mtime_secs", "mtime_nanos").alias("n"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_partkey ELSE p_partkey - 9223372036854775807 - 1 END AS inode FROM part")
+def inode_numbers(spark, d):
+    return _t(spark, d, "part").select("p_partkey", S.inode("p_partkey", F.when(F.col("p_partkey") % 3 == 0, "directory").otherwise("file")).alias("inode"))
+
+
+@query("SELECT p_partkey, p_partkey % 2 = 0 AND p_partkey % 3 <> 0 AND (p_partkey % 5 = 0 OR p_partkey % 7 <> 0) AS same FROM part")
+def entry_match(spark, d):
+    k = F.col("p_partkey")
+    base = _t(spark, d, "part").select("p_partkey", F.when(k % 5 == 0, "symlink").otherwise("file").alias("kind"), k.cast("long").alias("size"), F.lit(33188).alias("mode"), F.lit(None).cast("string").alias("fcaps"))
+    other = base.select("p_partkey", F.when(k % 3 == 0, "fifo").otherwise(F.col("kind")).alias("kind"), (F.col("size") + F.when(k % 7 == 0, 1).otherwise(0)).alias("size"), F.when(k % 2 == 0, F.col("mode")).otherwise(0).alias("mode"), "fcaps")
+    return base.alias("a").join(other.alias("b"), "p_partkey").select("p_partkey", S.entry_matches("a", "b", ("mode", "fcaps")).alias("same"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'user.a' ELSE 'user.a,trusted.' || p_partkey END AS names FROM part")
+def kept_xattrs(spark, d):
+    k = F.col("p_partkey")
+    x = lambda name: F.struct(name.cast("binary").alias("name"), F.lit(b"v").alias("value"))
+    xattrs = F.array(x(F.lit("user.a")), x(F.when(k % 2 == 0, F.concat(F.lit("security."), k.cast("string"))).otherwise(F.concat(F.lit("trusted."), k.cast("string")))))
+    kept = S.without_xattrs(xattrs, "security.")
+    return _t(spark, d, "part").select("p_partkey", F.array_join(F.transform(kept, lambda y: y["name"].cast("string")), ",").alias("names"))

@@ -108,3 +108,12 @@ def rows(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({k: [r[k] for r in got] for k in got[0]}, pa.schema([("path", pa.string()), ("parent", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("size", pa.int64()), ("mtime", pa.int64()), ("depth", pa.int32())]))
 
     return files.select("content").mapInArrow(run, BROWSE)
+
+
+def catalogs(entries: DataFrame, key: str) -> DataFrame:
+    """A catalog for each value of a column of entries (path, kind, size, mtime): key, content. Entries of one catalog meet in one task."""
+
+    def run(k: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
+        return pa.table([pa.array([k[0].as_py()], pa.string()), pa.array([encode(got.select(["path", "kind", "size", "mtime"]).to_pylist())], pa.binary())], [key, "content"])
+
+    return entries.select(key, "path", "kind", "size", "mtime").groupBy(key).applyInArrow(run, f"{key} string, content binary")

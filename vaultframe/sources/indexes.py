@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +57,23 @@ def encode_fixed(digests: list[str], chunk_size: int, total: int, created: int)
     body = b"".join(map(bytes.fromhex, digests))
     uuid = hashlib.sha256(struct.pack("<qQ", created, total)).digest()[:16]
     return (FIXED + uuid + struct.pack("<q", created) + hashlib.sha256(body).digest() + struct.pack("<QQ", total, chunk_size)).ljust(HEADER_SIZE, b"\0") + body
+
+
+def dynamic_files(index: DataFrame, created: int) -> DataFrame:
+    """An index file for each stream: stream, content. A stream's entries meet in one task, 40 bytes each."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        entries = sorted(zip(*(rows.column(c).to_pylist() for c in ("pos", "end_offset", "digest")), strict=True))
+        return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([encode_dynamic([e[1:] for e in entries], created)], pa.binary())], ["stream", "content"])
+
+    return index.select("stream", "pos", "end_offset", "digest").groupBy("stream").applyInArrow(run, "stream string, content binary")
+
+
+def fixed_files(chunks: DataFrame, chunk_size: int, created: int) -> DataFrame:
+    """The same of chunks of a fixed size (stream, pos, end_offset, digest)."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        entries = sorted(zip(*(rows.column(c).to_pylist() for c in ("pos", "end_offset", "digest")), strict=True))
+        return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([encode_fixed([e[2] for e in entries], chunk_size, entries[-1][1], created)], pa.binary())], ["stream", "content"])
+
+    return chunks.select("stream", "pos", "end_offset", "digest").groupBy("stream").applyInArrow(run, "stream string, content binary")
