@@ -308,7 +308,7 @@ def cleaned(df: DataFrame, window: int = 20, phrase: int = 10) -> tuple[DataFram
 def digest(df: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
     rows, counts, texts = cleaned(df, **options)
-    own = texts.select("sequence", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    own = written(texts.select("sequence", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")))
     out = attached(rows, counts, own, "sequence")
     copy = F.col("is_copy")
     return out.select(
