@@ -133,7 +133,7 @@ def _cut(rows: DataFrame, crowded: DataFrame, other: DataFrame, cut: str, other_
 KEYS = ["bucket_table", "code", "dim"]
 
 
-def search(df: DataFrame, query: Column, tables: int = 10, probes: int = 8, per: int = 25, part: int = 4096, seed: int = 3, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def search(df: DataFrame, query: Column, tables: int = 10, probes: int = 8, per: int = 100, part: int = 4096, seed: int = 3, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the nearest found for each row of df that fulfils `query` (on vec_id)."""
     sound = F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("vec", lambda x: x != 0)
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vec")).filter(sound).filter("vec_id is not null").filter(F.size("vec") > 0)
