@@ -361,10 +361,11 @@ class Join:
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those of (a, b) that link."""
         near = _near(self.num, self.den)
-        sketch = lambda end: self.sketches.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("cells").alias(f"cells_{end}"))
-        pairs = written(pairs.distinct().join(sketch("a"), "a").join(sketch("b"), "b").filter(near("cells_a", "cells_b", "n_a", "n_b")).select("a", "b"))
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ids = written(ids.join(self.first, "node").select("doc_id", "node"))
+        sketch = lambda end: self.first.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "cells", "doc_id")))
+        near_pairs = written(pairs.distinct().join(sketch("a"), "a").join(sketch("b"), "b").filter(near("cells_a", "cells_b", "n_a", "n_b")).select("a", "b", "doc_id_a", "doc_id_b"))
+        pairs = near_pairs.select("a", "b")
+        ends = F.array(*(F.struct(F.col(f"doc_id_{end}").alias("doc_id"), F.col(end).alias("node")) for end in ("a", "b")))
+        ids = written(near_pairs.select(F.explode(ends).alias("e")).select("e.*").distinct())
         some = self.docs.join(_small(ids.select("doc_id").distinct(), ids.count()), "doc_id", "left_semi")
         tokens = some.mapInArrow(_whole(self.k), "node long, tokens array<long>")
         unnamed = ids.filter("doc_id is null").select("node")
@@ -379,8 +380,8 @@ class Join:
 
     def _components(self) -> DataFrame:
         known = self.nodes.filter("node is not null")
-        self.first = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c")))
-        self.sketches = known.select("node", "n", "cells").dropDuplicates(["node"])
+        #: One row for each node.
+        self.first = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("cells").alias("cells")))
         self.tested = None
         tokens = self.nodes.agg(F.sum("n")).first()[0] or 0
         spark = self.docs.sparkSession
@@ -402,6 +403,8 @@ class Join:
         many = written(many.withColumn("cuts", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), "cuts").cast("int")))
         for turn in (0, 1, None):
             many = self._open(many, comps)
+            if many.isEmpty():
+                break
             found = self._crowds(many, turn).join(self.tested, ["a", "b"], "left_anti")
             found = written(found)
             if not found.isEmpty():
@@ -419,7 +422,7 @@ class Join:
 
     def _crowds(self, many: DataFrame, turn: int | None) -> DataFrame:
         """Pairs (a, b) of different components from keys of many nodes. In the first turn a block meets itself and the next, so that its cost is linear; groups of near copies close by that. Later ones compare all blocks of the keys that are still open."""
-        held = many.join(self.sketches.select("node", "cells"), "node")
+        held = many.join(self.first.select("node", "cells"), "node")
         others = F.sequence(F.lit(0), F.col("cuts") - 1) if turn != 0 else F.array_distinct(F.array("part", F.pmod(F.col("part") + 1, "cuts"), F.pmod(F.col("part") - 1, "cuts")))
         two = F.transform(others, lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
         held = held.select("key", "node", "n", "component", "part", "cells", F.explode(two).alias("b"))
@@ -427,10 +430,10 @@ class Join:
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every document."""
-        least = self.first.join(self.components, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        least = self.first.select("node", "doc_id").join(self.components, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
         of = self.components.join(least, "component").select("node", "component_id")
-        info = self.first.join(of, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-        out = attached(self.nodes.select("doc_id", F.col("n").alias("n_shingles"), "node"), self.first, info, "node")
+        info = self.first.select("node", "doc_id").join(of, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
+        out = attached(self.nodes.select("doc_id", F.col("n").alias("n_shingles"), "node"), self.first.select("node", "c"), info, "node")
         return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
