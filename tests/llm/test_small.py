@@ -180,6 +180,18 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 0, 200: 200, 201: 200}
 
 
+@pytest.mark.parametrize("links", [[], [(-5, -5)], [(999, i) for i in range(50)], [(999, i) for i in range(0, 50, 2)] + [(-1000, i) for i in range(1, 50, 2)] + [(48, 49)], [(int(a), int(b)) for a, b in np.random.default_rng(5).integers(-60, 60, (70, 2))]])
+def test_components_against_a_plain_version(spark, links):
+    """A hub with the largest name, two hubs with a bridge, random links, none."""
+    plain = {x: x for a, b in links if a != b for x in (a, b)}
+    for _ in plain:
+        for a, b in links:
+            if a != b:
+                plain[a] = plain[b] = min(plain[a], plain[b])
+    got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len(plain) and {r.node: r.component for r in got} == plain
+
+
 # 3 and 7
 
 VECTORS = "vec_id long, embedding array<float>, label int, vec string, id int, score double"
