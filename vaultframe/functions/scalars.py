@@ -11,6 +11,13 @@ from vaultframe.schema import FIRST_KIND, KINDS
 TYPE_MASK = 0o170000
 TYPES = {"socket": 0o140000, "symlink": 0o120000, "file": 0o100000, "block": 0o060000, "directory": 0o040000, "char": 0o020000, "fifo": 0o010000}
 
+# Tags of the entries of an ACL in Linux.
+ACL_TAGS = {"user_obj": 1, "user": 2, "group_obj": 4, "group": 8, "mask": 16, "other": 32}
+# Names of numbers.
+BACKUP_TYPES = {0: "vm", 1: "ct", 2: "host"}
+DETECTION_MODES = {0: "legacy", 1: "data", 2: "metadata"}
+DEFAULT_PORT = 8007
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -152,6 +159,11 @@ def inode(file_offset: Column | str, kind: Column | str) -> Column:
     return F.when(_c(kind) == "directory", off).otherwise(off.bitwiseOR(F.lit(-(1 << 63))))
 
 
+def is_directory_inode(number: Column | str) -> Column:
+    """Whether an inode number is a directory's: the top bit is clear."""
+    return _c(number) >= 0
+
+
 def attributes(entry_kind: Column | str, size: Column | str) -> list[Column]:
     """What a file system reports beside the stat: 512-byte blocks and links."""
     return [F.floor((_c(size) + 511) / 512).cast("long").alias("blocks"), F.when(_c(entry_kind) == "directory", 2).otherwise(1).cast("long").alias("nlink")]
@@ -170,6 +182,72 @@ def without_xattrs(xattrs: Column | str, prefix: str) -> Column:
     return F.filter(_c(xattrs), lambda x: ~x["name"].cast("string").startswith(prefix))
 
 
+def posix_acl(access: Column | str, default: Column | str) -> Column:
+    """An entry's ACL from the extended attributes in which Linux keeps its access ACL and its default one.
+
+    Either may be null. Each holds a version (2) and entries of tag, permissions (16 bits each) and id (32 bits). An
+    attribute shorter than its version, or of another version, fails.
+    """
+    def entries(data: Column) -> Column:
+        n = F.floor((F.octet_length(data) - 4) / 8).cast("int")
+        sound = F.when(F.octet_length(data) < 4, F.raise_error(F.lit("ACL too short"))).when(from_le(data, 0, 4) != 2, F.raise_error(F.lit("unknown version of an ACL")))
+        checked = F.coalesce(sound.cast("binary"), data)
+        h = F.hex(checked)
+        number = lambda k, at, size: F.conv(F.concat(*[F.substring(h, 9 + 16 * k + 2 * (at + b), F.lit(2)) for b in reversed(range(size))]), 16, 10).cast("long")
+        each = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(number(k, 0, 2).alias("tag"), number(k, 2, 2).alias("permissions"), number(k, 4, 4).alias("id")))
+        return F.when(n > 0, each)
+
+    def of(data: Column, tag: int) -> Column:
+        return F.coalesce(F.transform(F.filter(entries(data), lambda e: e["tag"] == tag), lambda e: F.struct(e["id"].alias("id"), e["permissions"].alias("permissions"))), F.array().cast("array<struct<id: bigint, permissions: bigint>>"))
+
+    one = lambda data, name: F.get(of(data, ACL_TAGS[name])["permissions"], F.lit(0))
+    a, d = _c(access), _c(default)
+    defaults = F.when(F.size(F.coalesce(entries(d), F.array())) > 0, F.struct(*[one(d, k).alias(k) for k in ("user_obj", "group_obj", "other", "mask")]))
+    return F.struct(
+        of(a, ACL_TAGS["user"]).alias("users"), of(a, ACL_TAGS["group"]).alias("groups"), one(a, "group_obj").alias("group_obj"), defaults.alias("default"),
+        of(d, ACL_TAGS["user"]).alias("default_users"), of(d, ACL_TAGS["group"]).alias("default_groups"),
+    )
+
+
+def repository(text: Column | str) -> Column:
+    """host, port and datastore of user@host:port:datastore (the user may be left out); null without both colons. A port that does not begin with a digit is the default one."""
+    parts = F.split(_c(text), ":", 3)
+    port = F.nullif(F.regexp_extract(parts[1], r"^\s*([+-]?[0-9]+)", 1), F.lit(""))
+    return F.when(F.size(parts) == 3, F.struct(F.substring_index(parts[0], "@", -1).alias("host"), F.coalesce(port.cast("int"), F.lit(DEFAULT_PORT)).alias("port"), parts[2].alias("datastore")))
+
+
+def named(number: Column | str, names: dict[int, str], otherwise: str | None = "unknown") -> Column:
+    """The name of a number, such as one of DETECTION_MODES."""
+    n = _c(number)
+    out = F.lit(otherwise)
+    for value, name in names.items():
+        out = F.when(n == value, name).otherwise(out)
+    return out
+
+
+def numbered(name: Column | str, names: dict[int, str]) -> Column:
+    """The number of a name; a name that is not known fails, null stays null."""
+    n = _c(name)
+    out = F.when(n.isNotNull(), F.raise_error(F.concat(F.lit("unknown name: "), n))).cast("long")
+    for value, known in names.items():
+        out = F.when(n == known, F.lit(value).cast("long")).otherwise(out)
+    return out
+
+
+def format_version(number: Column | str) -> Column:
+    return F.coalesce(named(number, {1: "v1", 2: "v2"}, None), F.concat(F.lit("unknown("), _c(number).cast("string"), F.lit(")")))
+
+
+def metadata(mode: Column | str, **given: Column) -> list[Column]:
+    """The metadata columns of an entry: those given, and for the others what an entry without them has."""
+    if wrong := set(given) - set(METADATA):
+        raise ValueError(f"not metadata: {sorted(wrong)}")
+    kinds = {"xattrs": "array<struct<name: binary, value: binary>>", "acl": "struct<>", "fcaps": "binary", "quota_project_id": "bigint", "mtime_nanos": "int"}
+    unset = {k: F.lit(0) if k in STAT else F.lit(None) for k in METADATA if k not in ("acl", "xattrs")} | {"xattrs": F.array()}
+    own = unset | given | {"mode": _c(mode)}
+    return [(own[k] if k == "acl" else own[k].cast(kinds.get(k, "bigint"))).alias(k) for k in METADATA if k in own]
+
+
 def acl_is_empty(acl: Column | str) -> Column:
     a = _c(acl)
     none = lambda f: F.coalesce(F.size(a[f]), F.lit(0)) <= 0

@@ -72,9 +72,14 @@ def children_named(entries: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.join(entries.withColumns({"parent": S.parent_of("path"), "name": S.base_name("path")}), ["parent", "name"], "left")
 
 
-def at_offset(entries: DataFrame, offsets: DataFrame) -> DataFrame:
-    """For each file_offset the entry that begins there; an offset inside an entry finds nothing."""
-    return offsets.join(entries, "file_offset", "left")
+def at_offset(entries: DataFrame, offsets: DataFrame, archive: list[str] | None = None) -> DataFrame:
+    """For each file_offset (of an archive, if its key columns are given) the entry that begins there; an offset inside an entry finds nothing."""
+    return offsets.join(entries, [*(archive or []), "file_offset"], "left")
+
+
+def accessible(inodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each asked inode with whether it exists: what exists may be read, whatever mask is asked for."""
+    return asked.join(inodes.select("inode", F.lit(True).alias("__there")).distinct(), "inode", "left").withColumn("accessible", F.coalesce("__there", F.lit(False))).drop("__there")
 
 
 def nth(entries: DataFrame, key: str, n: int, by: str) -> DataFrame:

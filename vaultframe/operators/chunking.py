@@ -7,7 +7,7 @@ distance. Six doubling steps give it for every place of a stream at once; only t
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,6 +79,25 @@ def boundaries(data: bytes, config: Config, table: np.ndarray = TABLE) -> list[i
     return ends
 
 
+def each_chunk(data: bytes, config: Config, got: Callable[[int, bytes], bool | None], table: np.ndarray = TABLE) -> int:
+    """Calls got(end, chunk) for each chunk in turn until it returns False; how many calls there were. For one stream that a program holds."""
+    start = 0
+    for n, end in enumerate(ends := boundaries(data, config, table), 1):
+        if got(end, data[start:end]) is False:
+            return n
+        start = end
+    return len(ends)
+
+
+def read_table(path: str) -> np.ndarray:
+    """A byte table of another store from a text file: 256 numbers, decimal or 0x hex, apart by commas or white space."""
+    with open(path) as f:
+        values = [int(x, 0) for x in f.read().replace(",", " ").split()]
+    if len(values) != 256:
+        raise ValueError(f"{len(values)} numbers instead of 256")
+    return np.array(values, np.uint32)
+
+
 def fixed(streams: DataFrame, size: int) -> DataFrame:
     """Chunks of fixed size of (stream, data): pos, bounds, digest and blob."""
     n = F.octet_length("data")

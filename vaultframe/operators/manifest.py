@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vaultframe.functions.codecs import hmac_sha256
+from vaultframe.functions.scalars import colon_hex
 from vaultframe.schema import MANIFEST
 
 
@@ -29,3 +31,26 @@ def verified(manifest_files: DataFrame, actual: DataFrame, keys: tuple[str, ...]
     got = actual.join(m, list(keys), "left")
     status = F.when(F.col("m_has").isNull(), "missing").when(~F.col("m_csum").eqNullSafe(F.col("csum")), "csum").when(~F.col("m_size").eqNullSafe(F.col("size")), "size").otherwise("ok")
     return got.select(*keys, status.alias("status"))
+
+
+def signature(manifest: Column, id_key: bytes) -> Column:
+    """Of a manifest (a struct of MANIFEST): the HMAC, in colon hex, of its fields in fixed order without signature and unprotected part; empty crypt modes are left out."""
+    given = lambda c: F.nullif(c, F.lit(""))
+    file = lambda f: F.struct(f["filename"].alias("filename"), given(f["crypt-mode"]).alias("crypt-mode"), f["size"].alias("size"), f["csum"].alias("csum"))
+    parts = [manifest[k].alias(k) for k in ("backup-type", "backup-id", "backup-time")]
+    canonical = F.to_json(F.struct(*parts, F.transform(manifest["files"], file).alias("files"), given(manifest["crypt-mode"]).alias("crypt-mode")))
+    return colon_hex(F.unhex(hmac_sha256(canonical.cast("binary"), id_key)))
+
+
+def signed(manifests: DataFrame, id_key: bytes, fingerprint: str) -> DataFrame:
+    """manifests (manifest: JSON) with their signature in them and the key's fingerprint in the unprotected part."""
+    m = F.from_json("manifest", MANIFEST)
+    fields = [m[k].alias(k) for k in ("backup-type", "backup-id", "backup-time", "files", "crypt-mode")]
+    unprotected = F.struct(F.lit(fingerprint).alias("key-fingerprint")).alias("unprotected")
+    return manifests.withColumn("manifest", F.to_json(F.struct(*fields, signature(m, id_key).alias("signature"), unprotected)))
+
+
+def signature_status(manifest: Column | str, id_key: bytes) -> Column:
+    """Of a manifest as JSON: ok, mismatch, or missing where it has no signature."""
+    m = F.from_json(manifest, MANIFEST)
+    return F.when(F.coalesce(m["signature"], F.lit("")) == "", "missing").when(m["signature"] == signature(m, id_key), "ok").otherwise("mismatch")

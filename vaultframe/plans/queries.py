@@ -455,7 +455,11 @@ def keyed_digest(spark, d):
     return _t(spark, d, "documents").select("doc_id", S.keyed_digest(_bytes(), b"key").alias("digest"))
 
 
-@query()
+_CRC_TABLE = "SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(b))"
+_BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)"
+
+
+@query(f"SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS crc FROM documents, ({_CRC_TABLE})")
 def crc32_blob(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.crc32(_bytes()).alias("crc"))
 
@@ -469,12 +473,35 @@ def _cdc(spark, d):
     return chunking.content_defined(_streams(spark, d), chunking.Config(1024))
 
 
-@query()
+def _spanned(source: str, span: int) -> str:
+    """SQL of one doubling step of the rolling hash."""
+    before = f"coalesce(lag(h, {span}) OVER (PARTITION BY doc_id ORDER BY p), 0)"
+    turned = f"(({before} << {span}) & 4294967295) | ({before} >> {32 - span})" if span < 32 else before
+    return f"SELECT doc_id, p, xor(h, {turned}) AS h FROM {source}"
+
+
+def _cut(average: int) -> str:
+    c, low = chunking.Config(average), "list_filter(m, lambda x: x >= {})[1]"
+    return f"""
+    WITH RECURSIVE of_byte AS (SELECT printf('%02X', b) AS x, ('0x' || d[7:8] || d[5:6] || d[3:4] || d[1:2])::BIGINT AS h FROM (SELECT b, sha256(unhex(printf('%02X', b))) AS d FROM range(256) r(b))),
+    h1 AS (SELECT doc_id, p, h FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS p FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS l FROM documents)) JOIN of_byte USING (x)),
+    {", ".join(f"h{2 * n} AS ({_spanned(f'h{n}', n)})" for n in (1, 2, 4, 8, 16, 32))},
+    marks AS (SELECT doc_id, list(p ORDER BY p) AS m FROM h64 WHERE h & {c.mask} >= {c.threshold} GROUP BY doc_id),
+    walk AS (
+        SELECT doc_id, text, strlen(text)::BIGINT AS n, 0::BIGINT AS pos, 0::BIGINT AS s, least(coalesce({low.format(max(c.least, chunking.WINDOW + 1))}, strlen(text)), {c.most}, strlen(text))::BIGINT AS e, m FROM documents LEFT JOIN marks USING (doc_id) WHERE text <> ''
+        UNION ALL SELECT doc_id, text, n, pos + 1, e, least(coalesce({low.format(f"e + {c.least}")}, n), e + {c.most}, n)::BIGINT, m FROM walk WHERE e < n)
+    SELECT doc_id::VARCHAR AS stream, pos, s AS start_offset, e AS end_offset, e - s AS size, sha256(unhex(substr(hex(encode(text)), 2 * s + 1, 2 * (e - s)))) AS digest FROM walk"""
+
+
+_CDC = _cut(1024)
+
+
+@query(_CDC)
 def cdc_chunks(spark, d):
     return _cdc(spark, d).drop("blob")
 
 
-@query()
+@query(f"SELECT (sum(n) - count(*))::BIGINT AS hits, sum(n)::BIGINT AS total, sum(n * size)::BIGINT AS bytes, sum(size)::BIGINT AS new_bytes FROM (SELECT digest, any_value(size) AS size, count(*) AS n FROM ({_CDC}) GROUP BY digest)")
 def cdc_dedup_stats(spark, d):
     return dedup.statistics(dedup.marked(_cdc(spark, d).drop("blob")))
 
@@ -618,3 +645,78 @@ def kept_xattrs(spark, d):
     xattrs = F.array(x(F.lit("user.a")), x(F.when(k % 2 == 0, F.concat(F.lit("security."), k.cast("string"))).otherwise(F.concat(F.lit("trusted."), k.cast("string")))))
     kept = S.without_xattrs(xattrs, "security.")
     return _t(spark, d, "part").select("p_partkey", F.array_join(F.transform(kept, lambda y: y["name"].cast("string")), ",").alias("names"))
+
+
+@query(f"""
+    WITH e AS (SELECT dir, doc_id || '.txt' AS name FROM ({_FILES})), s AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY sha256(name), name) AS r FROM e),
+    heap AS (SELECT dir, i, floor(log2(i))::BIGINT AS depth FROM (SELECT dir, unnest(range(1, count(*) + 1)) AS i FROM e GROUP BY dir)),
+    visited AS (SELECT dir, i - 1 AS place, row_number() OVER (PARTITION BY dir ORDER BY (2 * (i - (1::BIGINT << depth)) + 1) / (2::BIGINT << depth)::DOUBLE) AS r FROM heap)
+    SELECT dir AS parent, name, place FROM s JOIN visited USING (dir, r)""")
+def goodbye_layout(spark, d):
+    entries = _files(spark, d).select(S.parent_of("path").alias("parent"), S.base_name("path").alias("name"))
+    return goodbye.laid_out(entries, F.sha2(F.col("name").cast("binary"), 256))
+
+
+_SIGNED = f"""
+    SELECT backup_type, backup_id, backup_time, '{{"backup-type":"' || backup_type || '","backup-id":"' || backup_id || '","backup-time":' || backup_time || ',"files":['
+        || string_agg('{{"filename":"' || filename || '","crypt-mode":"none","size":' || size || ',"csum":"' || csum || '"}}', ',' ORDER BY filename) || ']}}' AS m FROM ({_MANIFEST}) GROUP BY backup_type, backup_id, backup_time"""
+
+
+@query(f"SELECT backup_type, backup_id, backup_time, regexp_replace(upper(sha256(unhex('{_PAD[1]}') || unhex(sha256(unhex('{_PAD[0]}') || encode(m))))), '(..)', '\\1:', 'g')[:95] AS signature, 'AB:CD' AS print, 'ok' AS status, 'mismatch' AS other FROM ({_SIGNED})")
+def manifest_signed(spark, d):
+    m = manifest.signed(manifest.assembled(_manifest_files(spark, d)), b"key", "AB:CD")
+    return m.select(
+        "backup_type", "backup_id", "backup_time", F.get_json_object("manifest", "$.signature").alias("signature"), F.get_json_object("manifest", "$.unprotected.key-fingerprint").alias("print"),
+        manifest.signature_status("manifest", b"key").alias("status"), manifest.signature_status("manifest", b"yek").alias("other"),
+    )
+
+
+@query("""
+    SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_partkey || ':' || p_partkey % 8 END AS users, '7:5' AS groups, (p_partkey % 5)::BIGINT AS group_obj,
+        CASE WHEN p_partkey % 2 = 0 THEN 4::BIGINT END AS default_mask, p_partkey % 2 = 1 AND p_partkey < 0 AS empty FROM part""")
+def posix_acls(spark, d):
+    k = F.col("p_partkey").cast("long")
+    entry = lambda tag, may, who: F.concat(F.unhex(F.lit(f"{tag:02x}00")), F.substring(S.le32(may), 1, 2), S.le32(who))
+    none, version = F.lit(-1).cast("long"), F.unhex(F.lit("02000000"))
+    access = F.concat(version, entry(1, F.lit(7), none), F.when(k % 3 == 0, F.lit(b"")).otherwise(entry(2, k % 8, k)), entry(4, k % 5, none), entry(8, F.lit(5), F.lit(7)), entry(32, F.lit(1), none))
+    default = F.when(k % 2 == 0, F.concat(version, entry(1, F.lit(7), none), entry(16, F.lit(4), none)))
+    p = _t(spark, d, "part").select("p_partkey", S.posix_acl(access, default).alias("acl"))
+    text = lambda field: F.array_join(F.transform(F.col(f"acl.{field}"), lambda x: F.concat_ws(":", x["id"], x["permissions"])), ",").alias(field)
+    return p.select("p_partkey", text("users"), text("groups"), "acl.group_obj", F.col("acl.default.mask").alias("default_mask"), S.acl_is_empty("acl").alias("empty"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 0 THEN 'h' || s_suppkey END AS host, CASE WHEN s_suppkey % 5 <> 0 THEN CASE WHEN s_suppkey % 3 = 0 THEN 8007 ELSE s_suppkey::INTEGER END END AS port, CASE WHEN s_suppkey % 5 <> 0 THEN 'a:b' END AS datastore FROM supplier")
+def repositories(spark, d):
+    k = F.col("s_suppkey")
+    user = F.when(k % 2 == 0, "u@realm@").otherwise("")
+    text = F.concat(user, F.lit("h"), k.cast("string"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(":"), F.when(k % 3 == 0, "x").otherwise(k.cast("string")), F.lit(":a:b"))))
+    return _t(spark, d, "supplier").select("s_suppkey", S.repository(text).alias("r")).select("s_suppkey", "r.host", "r.port", "r.datastore")
+
+
+@query("""
+    SELECT p_partkey, coalesce((['vm', 'ct', 'host'])[p_partkey % 4 + 1], 'unknown') AS type, coalesce((['legacy', 'data', 'metadata'])[p_partkey % 4 + 1], 'unknown') AS mode,
+        CASE p_partkey % 4 WHEN 1 THEN 'v1' WHEN 2 THEN 'v2' ELSE 'unknown(' || p_partkey % 4 || ')' END AS version, CASE WHEN p_partkey % 4 < 3 THEN (p_partkey % 4)::BIGINT END AS number FROM part""")
+def enum_names(spark, d):
+    k = F.col("p_partkey") % 4
+    named = _t(spark, d, "part").select("p_partkey", S.named(k, S.BACKUP_TYPES).alias("type"), S.named(k, S.DETECTION_MODES).alias("mode"), S.format_version(k).alias("version"))
+    return named.withColumn("number", S.numbered(F.nullif("type", F.lit("unknown")), S.BACKUP_TYPES))
+
+
+@query("SELECT p_partkey, p_partkey % 3 = 0 AS directory FROM part")
+def directory_inodes(spark, d):
+    number = S.inode("p_partkey", F.when(F.col("p_partkey") % 3 == 0, "directory").otherwise("file"))
+    return _t(spark, d, "part").select("p_partkey", S.is_directory_inode(number).alias("directory"))
+
+
+@query(f"SELECT source, path, kind, path AS at, NULL::VARCHAR AS beside FROM ({_TREE})")
+def entry_at_offset(spark, d):
+    every = archive.entries_of(archive.archives(_tree(spark, d), "source"), "source", content=False).select("source", "path", "kind", "file_offset")
+    asked = every.select("source", F.col("path").alias("at"), "file_offset")
+    inside = catalog.at_offset(every.select(F.col("source").alias("__s"), F.col("path").alias("beside"), "file_offset"), asked.select(F.col("source").alias("__s"), "at", (F.col("file_offset") + 1).alias("file_offset")), ["__s"])
+    return catalog.at_offset(every, asked, ["source"]).join(inside.select(F.col("__s").alias("source"), "at", "beside"), ["source", "at"]).select("source", "path", "kind", "at", "beside")
+
+
+@query("SELECT p_partkey, 33188 + p_partkey % 8 AS mode, p_partkey AS uid, 0::BIGINT AS gid, 0::BIGINT AS mtime_secs, 0 AS mtime_nanos, 0::BIGINT AS flags, 0 AS names, true AS plain FROM part")
+def metadata_builder(spark, d):
+    made = S.metadata(F.lit(33188) + F.col("p_partkey") % 8, uid=F.col("p_partkey"))
+    return _t(spark, d, "part").select("p_partkey", *made).select("p_partkey", *S.STAT, F.size("xattrs").alias("names"), (F.col("fcaps").isNull() & F.col("quota_project_id").isNull()).alias("plain"))

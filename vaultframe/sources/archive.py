@@ -47,6 +47,12 @@ PAYLOAD_START = 0x834C68C2194A4ED2
 PAYLOAD_TAIL = 0x6C72B78B984C81B5
 # The most content of kinds that have a bound.
 MOST = {FILENAME: 4097, SYMLINK: 4097, HARDLINK: 4105, DEVICE: 16, XATTR: 65791, FCAPS: 65791, ACL_USER: 24, ACL_GROUP: 24, ACL_DEFAULT_USER: 24, ACL_DEFAULT_GROUP: 24, ACL_DEFAULT: 32, ACL_GROUP_OBJ: 8, QUOTA: 8, ENTRY: 40, PAYLOAD_REF: 16, PAYLOAD_TAIL: 0}
+# Names of kinds of items, as reports show them.
+NAMES = {
+    VERSION: "FORMAT_VERSION", PRELUDE: "PRELUDE", FILENAME: "FILENAME", SYMLINK: "SYMLINK", HARDLINK: "HARDLINK", DEVICE: "DEVICE", XATTR: "XATTR", FCAPS: "FCAPS",
+    ACL_USER: "ACL_USER", ACL_DEFAULT_USER: "ACL_DEFAULT_USER", ACL_GROUP: "ACL_GROUP", ACL_DEFAULT_GROUP: "ACL_DEFAULT_GROUP", ACL_DEFAULT: "ACL_DEFAULT", ACL_GROUP_OBJ: "ACL_GROUP_OBJ",
+    QUOTA: "QUOTA_PROJID", ENTRY: "ENTRY", PAYLOAD: "PAYLOAD", PAYLOAD_REF: "PAYLOAD_REF", PAYLOAD_TAIL: "PXAR_PAYLOAD_TAIL_MARKER", GOODBYE: "GOODBYE",
+}
 HEADER = struct.Struct("<QQ")
 STAT = struct.Struct("<QQIIqI4x")
 STAT_V1 = struct.Struct("<QQIIQ")
@@ -55,6 +61,10 @@ _LISTS = {ACL_USER: "users", ACL_GROUP: "groups", ACL_DEFAULT_USER: "default_use
 _KIND_OF = {v: ("device" if k in ("block", "char") else k) for k, v in TYPES.items()}
 
 
+def item_name(kind: int) -> str:
+    return f"{NAMES.get(kind, 'UNKNOWN')} header ({kind:x})"
+
+
 def _signed(v: int) -> int:
     return v - (1 << 64) if v >> 63 else v
 
@@ -166,12 +176,41 @@ class _Open:
     items: list[tuple[bytes, int, int]] = field(default_factory=list)
 
 
+class FileWriter:
+    """Takes the bytes of one file, as many as were said, in as many writes as it likes; close() or the end of a with block ends the file."""
+
+    def __init__(self, writer: Writer, out: BinaryIO, size: int, item: tuple[bytes, int]):
+        self.writer, self.out, self.left, self.item = writer, out, size, item
+
+    def write(self, data: bytes) -> int:
+        if len(data) > self.left:
+            raise ValueError(f"{len(data) - self.left} bytes more than the file has")
+        self.out.write(data)
+        self.left -= len(data)
+        return len(data)
+
+    def close(self) -> None:
+        if self.writer.writing is self:
+            if self.left:
+                raise ValueError(f"{self.left} bytes of the file are missing")
+            self.writer.writing = None
+            self.writer.open[-1].items.append((*self.item, self.writer.at))
+
+    def __enter__(self) -> FileWriter:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            self.close()
+
+
 class Writer:
     """Writes entries in pre-order, the root first. With a second stream the archive is of version 2."""
 
     def __init__(self, out: BinaryIO, payload: BinaryIO | None = None, prelude: bytes | None = None):
         self.out, self.payload, self.at, self.paid, self.open = out, payload, 0, 0, []
         self.places: dict[str, int] = {}
+        self.writing: FileWriter | None = None
         if payload is not None:
             payload.write(HEADER.pack(PAYLOAD_START, 16))
             self.paid = 16
@@ -215,14 +254,11 @@ class Writer:
             name, at, _ = self.open[-1].items[own.item]
             self.open[-1].items[own.item] = (name, at, self.at)
 
-    def add(self, e: dict[str, Any]) -> None:
+    def _enter(self, e: dict[str, Any]) -> tuple[bytes, int]:
+        """Ends directories that e is not in and writes its name; the name and where it stands."""
         path, kind = e["path"], e["kind"]
-        if path == "/":
-            if self.open or kind != "directory":
-                raise ValueError("the root is a directory and comes first")
-            self.open.append(_Open("/", -1, self.at))
-            self._metadata(e)
-            return
+        if self.writing:
+            raise ValueError("a file is still being written")
         parent, _, name = path.rpartition("/")
         parent = parent or "/"
         while self.open and self.open[-1].path != parent:
@@ -235,6 +271,37 @@ class Writer:
             raise ValueError(f"the mode of {path} is not that of a {kind}")
         raw, begun = name.encode("utf-8", "surrogateescape"), self.at
         self._item(FILENAME, raw + b"\0")
+        return raw, begun
+
+    def file(self, e: dict[str, Any], size: int) -> FileWriter:
+        """Begins a file whose bytes come later; nothing else is written before it is closed."""
+        raw, begun = self._enter(e)
+        self._metadata(e)
+        self.places[e["path"]] = begun
+        if self.payload is None:
+            self.out.write(HEADER.pack(PAYLOAD, 16 + size))
+            self.at += 16 + size
+        else:
+            self._item(PAYLOAD_REF, PAIR.pack(self.paid, size))
+            self.payload.write(HEADER.pack(PAYLOAD, 16 + size))
+            self.paid += 16 + size
+        self.writing = FileWriter(self, self.out if self.payload is None else self.payload, size, (raw, begun))
+        return self.writing
+
+    def add(self, e: dict[str, Any]) -> None:
+        path, kind = e["path"], e["kind"]
+        if path == "/":
+            if self.open or kind != "directory":
+                raise ValueError("the root is a directory and comes first")
+            self.open.append(_Open("/", -1, self.at))
+            self._metadata(e)
+            return
+        if kind == "file":
+            body = bytes(e.get("content") or b"")
+            with self.file(e, len(body)) as f:
+                f.write(body)
+            return
+        raw, begun = self._enter(e)
         top = self.open[-1]
         if kind == "hardlink":
             target = self.places.get(e["link_target"], e.get("link_offset"))
@@ -248,22 +315,15 @@ class Writer:
                 top.items.append((raw, begun, begun))
                 self.open.append(_Open(path, len(top.items) - 1, entry_at))
                 return
-            if kind == "file":
-                self.places[path] = begun
-                body = bytes(e.get("content") or b"")
-                if self.payload is None:
-                    self._item(PAYLOAD, body)
-                else:
-                    self._item(PAYLOAD_REF, PAIR.pack(self.paid, len(body)))
-                    self.payload.write(HEADER.pack(PAYLOAD, 16 + len(body)) + body)
-                    self.paid += 16 + len(body)
-            elif kind == "symlink":
+            if kind == "symlink":
                 self._item(SYMLINK, e["link_target"].encode("utf-8", "surrogateescape") + b"\0")
             elif kind == "device":
                 self._item(DEVICE, PAIR.pack(e["dev_major"], e["dev_minor"]))
         top.items.append((raw, begun, self.at))
 
     def close(self) -> None:
+        if self.writing:
+            raise ValueError("a file is still being written")
         while self.open:
             self._close()
         if self.payload is not None:
