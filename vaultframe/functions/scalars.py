@@ -190,12 +190,11 @@ def posix_acl(access: Column | str, default: Column | str) -> Column:
     """
     def entries(data: Column) -> Column:
         n = F.floor((F.octet_length(data) - 4) / 8).cast("int")
-        sound = F.when(F.octet_length(data) < 4, F.raise_error(F.lit("ACL too short"))).when(from_le(data, 0, 4) != 2, F.raise_error(F.lit("unknown version of an ACL")))
-        checked = F.coalesce(sound.cast("binary"), data)
-        h = F.hex(checked)
+        fail = lambda why: F.raise_error(F.lit(why)).cast("array<struct<tag: bigint, permissions: bigint, id: bigint>>")
+        h = F.hex(data)
         number = lambda k, at, size: F.conv(F.concat(*[F.substring(h, 9 + 16 * k + 2 * (at + b), F.lit(2)) for b in reversed(range(size))]), 16, 10).cast("long")
         each = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(number(k, 0, 2).alias("tag"), number(k, 2, 2).alias("permissions"), number(k, 4, 4).alias("id")))
-        return F.when(n > 0, each)
+        return F.when(F.octet_length(data) < 4, fail("ACL too short")).when(from_le(data, 0, 4) != 2, fail("unknown version of an ACL")).when(n > 0, each)
 
     def of(data: Column, tag: int) -> Column:
         return F.coalesce(F.transform(F.filter(entries(data), lambda e: e["tag"] == tag), lambda e: F.struct(e["id"].alias("id"), e["permissions"].alias("permissions"))), F.array().cast("array<struct<id: bigint, permissions: bigint>>"))
