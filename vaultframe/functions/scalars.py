@@ -191,21 +191,24 @@ def posix_acl(access: Column | str, default: Column | str) -> Column:
     def entries(data: Column) -> Column:
         n = F.floor((F.octet_length(data) - 4) / 8).cast("int")
         fail = lambda why: F.raise_error(F.lit(why)).cast("array<struct<tag: bigint, permissions: bigint, id: bigint>>")
-        h = F.hex(data)
-        number = lambda k, at, size: F.conv(F.concat(*[F.substring(h, 9 + 16 * k + 2 * (at + b), F.lit(2)) for b in reversed(range(size))]), 16, 10).cast("long")
-        each = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(number(k, 0, 2).alias("tag"), number(k, 2, 2).alias("permissions"), number(k, 4, 4).alias("id")))
+        number = lambda h, at, size: F.conv(F.concat(*[F.substring(h, 1 + 2 * (at + b), 2) for b in reversed(range(size))]), 16, 10).cast("long")
+        pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.hex(F.substring(data, 5 + 8 * k, F.lit(8))))
+        each = F.transform(pieces, lambda h: F.struct(number(h, 0, 2).alias("tag"), number(h, 2, 2).alias("permissions"), number(h, 4, 4).alias("id")))
         return F.when(F.octet_length(data) < 4, fail("ACL too short")).when(from_le(data, 0, 4) != 2, fail("unknown version of an ACL")).when(n > 0, each)
 
-    def of(data: Column, tag: int) -> Column:
-        return F.coalesce(F.transform(F.filter(entries(data), lambda e: e["tag"] == tag), lambda e: F.struct(e["id"].alias("id"), e["permissions"].alias("permissions"))), F.array().cast("array<struct<id: bigint, permissions: bigint>>"))
+    def of(found: Column, tag: str) -> Column:
+        own = F.filter(found, lambda e: e["tag"] == ACL_TAGS[tag])
+        return F.coalesce(F.transform(own, lambda e: F.struct(e["id"].alias("id"), e["permissions"].alias("permissions"))), F.array().cast("array<struct<id: bigint, permissions: bigint>>"))
 
-    one = lambda data, name: F.get(of(data, ACL_TAGS[name])["permissions"], F.lit(0))
-    a, d = _c(access), _c(default)
-    defaults = F.when(F.size(F.coalesce(entries(d), F.array())) > 0, F.struct(*[one(d, k).alias(k) for k in ("user_obj", "group_obj", "other", "mask")]))
-    return F.struct(
-        of(a, ACL_TAGS["user"]).alias("users"), of(a, ACL_TAGS["group"]).alias("groups"), one(a, "group_obj").alias("group_obj"), defaults.alias("default"),
-        of(d, ACL_TAGS["user"]).alias("default_users"), of(d, ACL_TAGS["group"]).alias("default_groups"),
-    )
+    one = lambda found, tag: F.get(F.filter(found, lambda e: e["tag"] == ACL_TAGS[tag])["permissions"], F.lit(0)).alias(tag)
+
+    def both(x: Column) -> Column:
+        a, d = x["a"], x["d"]
+        defaults = F.when(d.isNotNull(), F.struct(*[one(d, k) for k in ("user_obj", "group_obj", "other", "mask")]))
+        return F.struct(of(a, "user").alias("users"), of(a, "group").alias("groups"), one(a, "group_obj"), defaults.alias("default"), of(d, "user").alias("default_users"), of(d, "group").alias("default_groups"))
+
+    parsed = F.array(F.struct(entries(_c(access)).alias("a"), entries(_c(default)).alias("d")))  # bound once: the fields below would each parse again
+    return F.get(F.transform(parsed, both), F.lit(0))
 
 
 def repository(text: Column | str) -> Column:
