@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 
 from vaultframe.llm import ann, components, crf, html, language, mixing, ngram_join, packing, pii, quality, repeats, topk, words
 
@@ -151,6 +152,28 @@ def test_ngram_join(spark, monkeypatch, k, num, den, rare, few):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == components_of(rows, k, num, den)
 
 
+def test_ngram_join_of_large_groups(spark, monkeypatch):
+    """Texts that differ a little too much, but for twins: what their group writes grows with its nodes, not with their pairs."""
+    apply = GroupedData.applyInArrow
+    def joined(c):
+        rng = np.random.default_rng(c)
+        rows = [(i, " ".join([f"w{k}" for k in range(100) if k != i % 100] + [f"own{i}x{k}" for k in range(5)]), "s") for i in rng.permutation(c).tolist()]
+        total = spark.sparkContext.accumulator(0)
+        def counted(self, run, schema):
+            def of(key, rows):
+                out = run(key, rows)
+                total.add(out.num_rows if len(key) == 3 else 0)
+                return out
+            return apply(self, of, schema)
+        monkeypatch.setattr(GroupedData, "applyInArrow", counted)
+        got = ngram_join.classes(docs(spark, rows), 1)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == components_of(rows, 1, 90, 100)
+        return total.value
+    assert joined(100) <= 10 * 100 and joined(300) <= 10 * 300
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)  # a row is in a group for each block
+    assert joined(120) <= 10 * 120 * 8
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f", "s"), (3, "A b c d e f", "s"), (3, "A b c d e f", "s"), (9, None, "s"), (9, None, "s"), (8, "other words here now", "s")]
     got = ngram_join.keep_one(docs(spark, rows))

@@ -14,10 +14,12 @@ keeps one of its e + 1 tokens in the other's prefix. Empty buckets are no keys:
 tokens that can differ agrees with its partner in a filled one. A node with fewer is dealt anew by another hash, SEEDS
 times at most, and only then are its empty buckets keys, too.
 
-Keys that few nodes share give their pairs. Keys of many nodes (groups of near copies) are compared within blocks of
-nodes, and only pairs of different components are named: first no more than would join all that may link, and, once
-those that do are merged, all that are left. A lower bound of the difference, from counts of tokens by hash cell, drops
-pairs that cannot link; all others are verified with their whole sets.
+Keys that few nodes share give their pairs. Of keys of many nodes (groups of near copies, which share hundreds) those with
+mostly the same nodes become one, whose nodes are compared in blocks: first each block with itself and the next, then
+all blocks of the keys whose nodes are still of different components. A lower bound of the difference, from counts of
+tokens by hash cell, drops pairs that cannot link; all others are verified with their whole sets. For keys of many nodes
+both happen where a block is: it first names the nodes that have a possible partner, then, given their sets, only
+links that join what is still apart. So what they write grows with their nodes, not with their pairs.
 
 Texts that are null or have no words have no shingles and link with nothing, not even each other. Rows of equal doc_id
 are documents of their own, those of null doc_id too; a component's id is null only if all of its doc_ids are. An empty table gives no rows. Other columns are ignored. Hashes have 64 bits.
@@ -41,8 +43,10 @@ from vaultframe.llm.components import components
 MOST_FREQUENT = 1 << 20
 #: Documents that a rare token is in at most, while the table of frequent ones has room.
 RARE = 8
-#: Nodes of a key that give all pairs; nodes of a block.
-FEW, BLOCK = 32, 2048
+#: Nodes of a key that give all pairs; nodes of a block, and about how many tokens its sets have.
+FEW, BLOCK, TOKENS = 32, 2048, 1 << 19
+#: Times that keys with mostly the same nodes are sought.
+BUNDLES = 3
 #: Ids that may be broadcast; more are joined by shuffles.
 MOST_BROADCAST = 1 << 20
 CELLS = 128
@@ -296,46 +300,79 @@ def _near(num: int, den: int):
     return near
 
 
-def _compared(num: int, den: int, turn: int | None):
-    """Pairs of a block, or of two blocks, that may link and are of different components. With a turn, as if all that may link did: only pairs that join what is still apart, fewer than nodes; each turn takes others first."""
+def _candidates(n: np.ndarray, comp: np.ndarray, part: np.ndarray | None, h: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b), sorted, of different components (and parts, if given) that may link by their sizes and counts by cell, some rows at a time. Sets are sorted by size; comp may change between."""
+    c, until = len(n), den * n // num
+    small, h = h.reshape(-1, 16, CELLS // 16).sum(2, dtype=np.int16), h.astype(np.int16)
+    start, step = 0, 2
+    while start < c:
+        step = max(1, min(step, (1 << 17) // c))  # differences of some MB at a time
+        i = np.arange(start, min(start + step, c))
+        ok = (np.arange(start, c) > i[:, None]) & (n[start:] <= until[i][:, None]) & (comp[start:] != comp[i][:, None])
+        if part is not None:
+            ok &= part[start:] != part[i][:, None]
+        a, b = np.nonzero(ok)
+        a, b = a + start, b + start
+        for sketch in (small, h):
+            kept = [np.abs(sketch[a[k : k + 65536]] - sketch[b[k : k + 65536]]).sum(1, dtype=np.int32) <= (den - num) * (n[a[k : k + 65536]] + n[b[k : k + 65536]]) // (den + num) for k in range(0, len(a), 65536)]
+            kept = np.concatenate(kept) if kept else np.zeros(0, bool)
+            a, b = a[kept], b[kept]
+        yield a, b
+        start, step = start + step, 2 * step
+
+
+def _ordered(key: tuple[pa.Scalar, ...], rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(rows by size, sizes, components as numbers from 0, parts if the group is of two blocks)."""
+    rows = rows.take(pa.array(np.lexsort((rows.column("node").to_numpy(), rows.column("n").to_numpy()))))
+    _, comp = np.unique(rows.column("component").to_numpy(), return_inverse=True)
+    apart = key[1].as_py() != key[2].as_py()
+    return rows, rows.column("n").to_numpy().astype(np.int64), comp, rows.column("part").to_numpy() if apart else None
+
+
+def _screened(num: int, den: int):
+    """Rows of a block, or of two blocks, that may link with one of another component."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        order = np.lexsort((rows.column("node").to_numpy(), rows.column("n").to_numpy()))
-        n, node, part = (rows.column(c).to_numpy()[order].astype(np.int64) for c in ("n", "node", "part"))
-        _, comp = np.unique(rows.column("component").to_numpy()[order], return_inverse=True)
-        open_comps, c = int(comp.max(initial=-1)) + 1, len(n)
-        h = np.frombuffer(b"".join(rows.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)[order]
-        small, h = h.reshape(-1, 16, CELLS // 16).sum(2, dtype=np.int16), h.astype(np.int16)
-        apart = key[1].as_py() != key[2].as_py()
-        until, row = den * n // num, np.random.default_rng(turn).permutation(c) if turn else np.arange(c)
-        found: list[np.ndarray] = []
-        start, step = 0, 2 if turn is not None else c
-        while start < c and (turn is None or open_comps > 1):
-            step = max(1, min(step, (1 << 17) // c))  # differences of some MB at a time
-            i, j = row[start : start + step], slice(int(row[start : start + step].min()), c)
-            start, step = start + step, 2 * step
-            ok = (np.arange(c)[j] > i[:, None]) & (n[j] <= until[i][:, None]) & (comp[j] != comp[i][:, None])
-            if apart:
-                ok &= part[j] != part[i][:, None]
-            a, b = np.nonzero(ok)
-            a, b = i[a], b + j.start
-            for sketch in (small, h):
-                kept = [np.abs(sketch[a[k : k + 65536]] - sketch[b[k : k + 65536]]).sum(1, dtype=np.int32) <= (den - num) * (n[a[k : k + 65536]] + n[b[k : k + 65536]]) // (den + num) for k in range(0, len(a), 65536)]
-                kept = np.concatenate(kept) if kept else np.zeros(0, bool)
-                a, b = a[kept], b[kept]
-            if turn is not None:
-                joins = []
-                for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-                    if comp[x] != comp[y]:
-                        comp[comp == comp[y]] = comp[x]
-                        joins.append(k)
-                        open_comps -= 1
-                        if open_comps == 1:
-                            break
-                a, b = a[joins], b[joins]
-            found.append(np.stack((node[a], node[b])))
-        pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        return pa.table([pa.array(pairs.min(0)), pa.array(pairs.max(0))], ["a", "b"])
+        rows, n, comp, part = _ordered(key, rows)
+        some, h = np.zeros(len(n), bool), np.frombuffer(b"".join(rows.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
+        for a, b in _candidates(n, comp, part, h, num, den):
+            some[a] = some[b] = True
+        return rows.drop_columns("cells").filter(pa.array(some))
+
+    return run
+
+
+def _linked(num: int, den: int):
+    """Links of a block, or of two blocks, that join what is still apart: fewer than nodes, and enough to join all that link."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows, n, comp, part = _ordered(key, rows)
+        node, to = rows.column("node").to_numpy(), np.concatenate(([0], np.cumsum(n)))
+        flat = np.concatenate([chunk.flatten().to_numpy() for chunk in rows.column("tokens").chunks])
+        h = np.frombuffer(cells(flat.view(np.uint64), to).buffers()[2], np.uint8).reshape(-1, CELLS)
+        token, flat = np.unique(flat, return_inverse=True)
+        held, found, apart = np.zeros(len(token), bool), [], int(comp.max(initial=-1)) + 1
+        for a, b in _candidates(n, comp, part, h, num, den):
+            rows_of, first = np.unique(a, return_index=True)
+            for x, ys in zip(rows_of.tolist(), np.split(b, first[1:]), strict=False):
+                ys = ys[comp[ys] != comp[x]]
+                if not len(ys):
+                    continue
+                own = flat[to[x] : to[x + 1]]
+                held[own] = True
+                at = np.cumsum(n[ys]) - n[ys]
+                shared = np.add.reduceat(held[flat[np.arange(n[ys].sum()) + np.repeat(to[ys] - at, n[ys])]], at, dtype=np.int64)
+                held[own] = False
+                ys = ys[den * shared >= num * (n[x] + n[ys] - shared)]
+                joins, one = np.unique(comp[ys], return_index=True)
+                comp[np.isin(comp, joins)] = comp[x]
+                found += [(int(node[x]), int(node[y])) for y in ys[one].tolist()]
+                apart -= len(joins)
+            if apart == 1:
+                break
+        tidy()
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table([pa.array(pairs.min(1)), pa.array(pairs.max(1))], ["a", "b"])
 
     return run
 
@@ -358,6 +395,15 @@ class Join:
     def _size_fits(self, small: Column, large: Column) -> Column:
         return self.num * large <= self.den * small
 
+    def _tokens(self, ids: DataFrame) -> DataFrame:
+        """(node, tokens) of the nodes (doc_id, node), and maybe of others."""
+        some = self.docs.join(_small(ids.select("doc_id").distinct(), ids.count()), "doc_id", "left_semi")
+        tokens = some.mapInArrow(_whole(self.k), "node long, tokens array<long>")
+        unnamed = ids.filter("doc_id is null").select("node")
+        if not unnamed.isEmpty():  # texts that only rows without a doc_id hold
+            tokens = tokens.union(self.docs.filter("doc_id is null").mapInArrow(_whole(self.k), "node long, tokens array<long>").join(unnamed, "node", "left_semi"))
+        return written(tokens.dropDuplicates(["node"]))
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those of (a, b) that link."""
         near = _near(self.num, self.den)
@@ -365,16 +411,8 @@ class Join:
         near_pairs = written(pairs.distinct().join(sketch("a"), "a").join(sketch("b"), "b").filter(near("cells_a", "cells_b", "n_a", "n_b")).select("a", "b", "doc_id_a", "doc_id_b"))
         pairs = near_pairs.select("a", "b")
         ends = F.array(*(F.struct(F.col(f"doc_id_{end}").alias("doc_id"), F.col(end).alias("node")) for end in ("a", "b")))
-        ids = written(near_pairs.select(F.explode(ends).alias("e")).select("e.*").distinct())
-        some = self.docs.join(_small(ids.select("doc_id").distinct(), ids.count()), "doc_id", "left_semi")
-        tokens = some.mapInArrow(_whole(self.k), "node long, tokens array<long>")
-        unnamed = ids.filter("doc_id is null").select("node")
-        if not unnamed.isEmpty():  # texts that only rows without a doc_id hold
-            tokens = tokens.union(self.docs.filter("doc_id is null").mapInArrow(_whole(self.k), "node long, tokens array<long>").join(unnamed, "node", "left_semi"))
-        tokens = tokens.dropDuplicates(["node"])
-        tokens = written(tokens)
+        tokens = self._tokens(written(near_pairs.select(F.explode(ends).alias("e")).select("e.*").distinct()))
         both = pairs.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-        self.tested = pairs if self.tested is None else self.tested.union(pairs)
         shared = F.size(F.array_intersect("x", "y"))
         return written(both.filter(self.den * shared >= self.num * (F.size("x") + F.size("y") - shared)).select("a", "b"))
 
@@ -382,7 +420,6 @@ class Join:
         known = self.nodes.filter("node is not null")
         #: One row for each node.
         self.first = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("cells").alias("cells")))
-        self.tested = None
         tokens = self.nodes.agg(F.sum("n")).first()[0] or 0
         spark = self.docs.sparkSession
         table = spark.sparkContext.broadcast(frequent_tokens(self.docs, tokens, self.k))
@@ -400,19 +437,30 @@ class Join:
         comps = written(components(self._verified(pairs)))
         if not crowded:
             return comps
-        many = written(many.withColumn("cuts", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), "cuts").cast("int")))
-        for turn in (0, 1, None):
-            many = self._open(many, comps)
-            if many.isEmpty():
-                break
-            found = self._crowds(many, turn).join(self.tested, ["a", "b"], "left_anti")
-            found = written(found)
-            if not found.isEmpty():
+        many = self._bundled(self._open(many, comps))
+        for every in (False, True):
+            links = self._crowds(many, every)
+            if not links.isEmpty():
                 # What is merged is as many links as it has nodes, however many were found.
                 stars = comps.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-                comps = written(components(stars.union(self._verified(found))))
+                comps = written(components(stars.union(links)))
+            # Of three blocks each has met itself and both others by now.
+            many = many.filter("cuts > 3")
+            if every or many.isEmpty():
+                break
+            many = self._open(many, comps)
         return comps
 
+    def _bundled(self, many: DataFrame) -> DataFrame:
+        """(key, node, n, component, cuts, part): keys with mostly the same nodes as one, with the nodes of all. Keys that have the same least node, by a hash, are such; they become one where its pairs are no more than theirs."""
+        for seed in range(BUNDLES):
+            least = written(many.groupBy("key").agg(F.min(F.xxhash64("node", F.lit(seed))).alias("least"), F.count("*").alias("held")))
+            one = many.join(least, "key").groupBy("least").agg(F.countDistinct("node").alias("all"), F.sum("held").alias("pairs"), F.min("key").alias("one")).filter("all * all <= pairs")
+            of = least.join(one, "least").select("key", "one")
+            many = written(many.join(of, "key", "left").select(F.coalesce("one", "key").alias("key"), "node", "n", "component").distinct())
+        cuts = many.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / TOKENS)).cast("int").alias("cuts"))
+        return written(many.join(cuts, "key").withColumn("part", F.pmod(F.xxhash64("node"), "cuts").cast("int")))
+
     def _open(self, many: DataFrame, comps: DataFrame) -> DataFrame:
         """Of (key, node, ...) the keys whose nodes are of different components, with these."""
         held = many.drop("component").join(comps.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("component", "node")).drop("of")
@@ -420,13 +468,15 @@ class Join:
         open_keys = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
         return written(held.join(open_keys, "key", "left_semi"))
 
-    def _crowds(self, many: DataFrame, turn: int | None) -> DataFrame:
-        """Pairs (a, b) of different components from keys of many nodes. In the first turn a block meets itself and the next, so that its cost is linear; groups of near copies close by that. Later ones compare all blocks of the keys that are still open."""
+    def _crowds(self, many: DataFrame, every: bool) -> DataFrame:
+        """Links (a, b) of nodes of keys of many nodes, enough to join all that link. At first a block meets itself and the next, so that its cost is linear; groups of near copies close by that. With every, all blocks meet."""
         held = many.join(self.first.select("node", "cells"), "node")
-        others = F.sequence(F.lit(0), F.col("cuts") - 1) if turn != 0 else F.array_distinct(F.array("part", F.pmod(F.col("part") + 1, "cuts"), F.pmod(F.col("part") - 1, "cuts")))
+        others = F.sequence(F.lit(0), F.col("cuts") - 1) if every else F.array_distinct(F.array("part", F.pmod(F.col("part") + 1, "cuts"), F.pmod(F.col("part") - 1, "cuts")))
         two = F.transform(others, lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
-        held = held.select("key", "node", "n", "component", "part", "cells", F.explode(two).alias("b"))
-        return held.select("key", "b.i", "b.j", "node", "n", "component", "part", "cells").groupBy("key", "i", "j").applyInArrow(_compared(self.num, self.den, turn), "a long, b long").distinct()
+        held = held.select("key", "node", "n", "component", "part", "cells", F.explode(two).alias("b")).select("key", "b.i", "b.j", "node", "n", "component", "part", "cells")
+        some = written(held.groupBy("key", "i", "j").applyInArrow(_screened(self.num, self.den), held.drop("cells").schema))
+        tokens = self._tokens(written(self.first.join(some.select("node").distinct(), "node", "left_semi").select("doc_id", "node")))
+        return written(some.join(tokens, "node").groupBy("key", "i", "j").applyInArrow(_linked(self.num, self.den), "a long, b long").distinct())
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every document."""
