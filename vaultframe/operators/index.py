@@ -111,6 +111,13 @@ def restored(index: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined(checked, ["stream"], "pos", "blob")
 
 
+def pieces(index: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Each stream's bytes as rows (stream, start_offset, data), for streams of any length; a chunk that is missing fails."""
+    got = index.select("stream", "end_offset", "digest").join(chunks.select("digest", "blob"), "digest", "left")
+    data = F.coalesce("blob", F.raise_error(F.concat(F.lit("missing chunk "), "digest")).cast("binary"))
+    return got.select("stream", (F.col("end_offset") - F.octet_length(data)).alias("start_offset"), data.alias("data"))
+
+
 def restored_ranges(wanted: DataFrame, index: DataFrame, chunks: DataFrame) -> DataFrame:
     """The bytes of (stream, offset, length): cut at the stream's end, empty for length 0; an offset at or beyond the end fails."""
     bounded = _bounded(index)

@@ -50,22 +50,17 @@ WHOLE, META, PAYLOAD = ".pxar", ".mpxar", ".ppxar"
 
 def archived(entries: DataFrame, key: str, config: chunking.Config, split: bool = False, store: DataFrame | None = None) -> Backup:
     """Each archive of entries (by a key column) as one chunked stream, or as two with file bytes apart, so that metadata is read without them. Chunks that the store has are not written again."""
-    made = archive.archives(entries, key, split)
-    streams = made.select(F.concat(key, F.lit(META if split else WHOLE)).alias("stream"), F.col("archive").alias("data"))
-    if split:
-        streams = streams.union(made.select(F.concat(key, F.lit(PAYLOAD)), "payload"))
-    chunks = chunking.content_defined(streams, config)
+    made = archive.pieces(entries, key, split)
+    suffix = F.when(F.col("payload"), PAYLOAD).otherwise(META) if split else F.lit(WHOLE)
+    chunks = chunking.content_defined_pieces(made.select(F.concat(key, suffix).alias("stream"), "start_offset", "data"), config)
     new = dedup.to_insert(chunks, store) if store is not None else chunks.dropDuplicates(["digest"])
     return Backup(entries.drop("content"), chunks.select("stream", "pos", "end_offset", "digest"), new.select("digest", "size", "blob"))
 
 
-def opened(backup_index: DataFrame, chunks: DataFrame, key: str, content: bool = True) -> DataFrame:
-    """Entries of chunked archives, split or not, from their index and the chunks. Without content no chunk of a payload stream is read."""
+def opened(backup_index: DataFrame, chunks: DataFrame, key: str, content: bool = True, split: bool = True) -> DataFrame:
+    """Entries of chunked archives, split or not, from their index and the chunks. Without content, or where none is said to be split, no chunk of a payload stream is read."""
     name = F.regexp_replace("stream", r"\.[mp]?pxar$", "").alias(key)
     is_payload = F.col("stream").endswith(PAYLOAD)
-    main = index.restored(backup_index.filter(~is_payload), chunks).select(name, F.col("data").alias("archive"))
-    none = F.lit(None).cast("binary").alias("payload")
-    if not content:
-        return archive.entries_of(main.select(key, "archive", none), key, content=False)
-    pay = index.restored(backup_index.filter(is_payload), chunks).select(name, F.col("data").alias("payload"))
-    return archive.entries_of(main.join(pay, key, "left"), key)
+    part = lambda rows: index.pieces(rows, chunks).select(name, "start_offset", "data")
+    main = archive.entries_of_pieces(part(backup_index.filter(~is_payload)), key, content)
+    return archive.with_payloads(main, part(backup_index.filter(is_payload)), key) if content and split else main

@@ -524,7 +524,10 @@ _TREE = """
 
 
 def _read_back(spark, d, split):
-    got = archive.entries_of(archive.archives(_tree(spark, d), "source", split), "source")
+    made = archive.pieces(_tree(spark, d), "source", split)
+    got = archive.entries_of_pieces(made.filter("NOT payload"), "source")
+    if split:
+        got = archive.with_payloads(got, made.filter("payload"), "source")
     return got.select("source", "path", "kind", "size", F.sha2("content", 256).alias("digest"))
 
 
@@ -542,18 +545,18 @@ def _backup(spark, d, split):
     return backup.archived(_tree(spark, d), "source", chunking.Config(4096), split)
 
 
-def _opened(b, content=True):
-    return backup.opened(b.index, b.new_chunks, "source", content)
+def _opened(b, split):
+    return backup.opened(b.index, b.new_chunks, "source", split=split)
 
 
 @query(_TREE)
 def chunked_archive(spark, d):
-    return _opened(_backup(spark, d, False)).select("source", "path", "kind", "size", F.sha2("content", 256).alias("digest"))
+    return _opened(_backup(spark, d, False), False).select("source", "path", "kind", "size", F.sha2("content", 256).alias("digest"))
 
 
 @query(_TREE)
 def chunked_split_archive(spark, d):
-    return _opened(_backup(spark, d, True)).select("source", "path", "kind", "size", F.sha2("content", 256).alias("digest"))
+    return _opened(_backup(spark, d, True), True).select("source", "path", "kind", "size", F.sha2("content", 256).alias("digest"))
 
 
 @query(f"SELECT source, path, kind, size FROM ({_TREE})")
@@ -710,7 +713,7 @@ def directory_inodes(spark, d):
 
 @query(f"SELECT source, path, kind, path AS at, NULL::VARCHAR AS beside FROM ({_TREE})")
 def entry_at_offset(spark, d):
-    every = archive.entries_of(archive.archives(_tree(spark, d), "source"), "source", content=False).select("source", "path", "kind", "file_offset")
+    every = archive.entries_of_pieces(archive.pieces(_tree(spark, d), "source"), "source", content=False).select("source", "path", "kind", "file_offset")
     asked = every.select("source", F.col("path").alias("at"), "file_offset")
     inside = catalog.at_offset(every.select(F.col("source").alias("__s"), F.col("path").alias("beside"), "file_offset"), asked.select(F.col("source").alias("__s"), "at", (F.col("file_offset") + 1).alias("file_offset")), ["__s"])
     return catalog.at_offset(every, asked, ["source"]).join(inside.select(F.col("__s").alias("source"), "at", "beside"), ["source", "at"]).select("source", "path", "kind", "at", "beside")
