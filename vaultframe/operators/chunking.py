@@ -149,11 +149,10 @@ def blocks(pieces: DataFrame, size: int, most: int) -> DataFrame:
     dealt = pieces.filter(F.octet_length("data") > 0).select("stream", at.alias("at"), end.alias("end"), "data", F.explode(F.sequence(low, F.floor((end - 1 + WINDOW) / size).cast("long"))).alias("b"))
     begin, stop = F.greatest("at", F.col("b") * size - WINDOW), F.least("end", (F.col("b") + 1) * size + most)
     cut = dealt.filter(begin < stop).select("stream", "b", F.struct(begin.alias("o"), F.substring("data", (begin - F.col("at") + 1).cast("int"), (stop - begin).cast("int")).alias("x")).alias("part"))
-    sorted_ = F.array_sort(F.collect_list("part"))
-    put = cut.groupBy("stream", "b").agg(sorted_.alias("parts")).select("stream", "b", F.get("parts", F.lit(0))["o"].alias("base"), F.element_at("parts", -1).alias("z"), F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["x"])), "")).alias("data"))
-    whole = F.col("base") + F.octet_length("data") == F.col("z.o") + F.octet_length("z.x")
+    put = cut.groupBy("stream", "b").agg(F.min("part.o").alias("base"), F.max(F.col("part.o") + F.octet_length("part.x")).alias("stop"), F.sum(F.octet_length("part.x")).alias("n"), F.expr("listagg(part.x) WITHIN GROUP (ORDER BY part.o)").alias("data"))
+    whole = F.col("base") + F.col("n") == F.col("stop")
     # A last block may have only bytes of the window before it.
-    return put.filter(F.col("base") + F.octet_length("data") > F.col("b") * size).select("stream", "b", "base", F.when(whole, F.col("data")).otherwise(F.raise_error(F.lit("bytes of a stream are missing or there twice")).cast("binary")).alias("data"))
+    return put.filter(F.col("stop") > F.col("b") * size).select("stream", "b", "base", F.when(whole, F.col("data")).otherwise(F.raise_error(F.lit("bytes of a stream are missing or there twice")).cast("binary")).alias("data"))
 
 
 def content_defined_pieces(pieces: DataFrame, config: Config, table: np.ndarray = TABLE) -> DataFrame:
@@ -200,6 +199,8 @@ def content_defined_pieces(pieces: DataFrame, config: Config, table: np.ndarray
     none = lambda t: F.lit(None).cast(t)
     both = whole.select("stream", "b", "base", "data", none("struct<pos: bigint, start: bigint, end: bigint>").alias("c")).union(ends.select("stream", "b", none("long"), none("binary"), F.struct("pos", "start", "end")))
     met = both.groupBy("stream", "b").agg(F.max("base").alias("base"), F.first("data", ignorenulls=True).alias("data"), F.collect_list("c").alias("cs"))
-    blob = lambda c: F.substring(F.col("data"), (c["start"] - F.col("base") + 1).cast("int"), (c["end"] - c["start"]).cast("int"))
-    cut = met.select("stream", F.explode(F.transform("cs", lambda c: F.struct(c["pos"].alias("pos"), c["start"].alias("start_offset"), c["end"].alias("end_offset"), (c["end"] - c["start"]).alias("size"), blob(c).alias("blob")))).alias("c")).select("stream", "c.*")
+    # Chunks are cut after explode: in a lambda, each would copy its whole block first.
+    each = met.select("stream", "base", "data", F.explode("cs").alias("c"))
+    n = F.col("c.end") - F.col("c.start")
+    cut = each.select("stream", "c.pos", F.col("c.start").alias("start_offset"), F.col("c.end").alias("end_offset"), n.alias("size"), F.substring("data", (F.col("c.start") - F.col("base") + 1).cast("int"), n.cast("int")).alias("blob"))
     return cut.select("stream", "pos", "start_offset", "end_offset", "size", F.sha2("blob", 256).alias("digest"), "blob")
