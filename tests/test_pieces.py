@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_engine import tree
+from vaultframe.functions import scalars as S
 from vaultframe.operators import chunking, index
 from vaultframe.plans import backup
 from vaultframe.sources import archive
@@ -115,3 +116,11 @@ def test_chunked_archives(spark, table, split):
     assert {k: v and bytes(v) for k, v in seen.items()} == want
     assert {r.stream for r in b.index.collect()} == {k + s for k in "ab" for s in ((backup.META, backup.PAYLOAD) if split else (backup.WHOLE,))}
     assert index.pieces(b.index, b.new_chunks).agg(F.sum(F.octet_length("data")).alias("n")).first().n == sum(len(x or b"") for k in "ab" for x in whole(split)[k])
+
+
+def test_an_acl_attribute_is_made_once(spark):
+    """Each entry of an attribute made the whole attribute again."""
+    made = lambda c: F.unbase64(F.base64(c))
+    df = spark.createDataFrame([(b"\2\0\0\0", None)], "a binary, d binary").select(S.posix_acl(made("a"), made("d")).alias("acl"))
+    assert df._jdf.queryExecution().optimizedPlan().expressions().mkString().lower().count("unbase64(") <= 2
+    assert df._jdf.queryExecution().analyzed().expressions().mkString().lower().count("unbase64(") == 2

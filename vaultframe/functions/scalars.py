@@ -193,9 +193,13 @@ def posix_acl(access: Column | str, default: Column | str) -> Column:
         fail = lambda why: F.raise_error(F.lit(why)).cast("array<struct<tag: bigint, permissions: bigint, id: bigint>>")
         number = lambda h, at, size: F.conv(F.concat(*[F.substring(h, 1 + 2 * (at + b), 2) for b in reversed(range(size))]), 16, 10).cast("long")
         pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.hex(F.substring(data, 5 + 8 * k, F.lit(8))))
-        each = F.transform(pieces, lambda h: F.struct(number(h, 0, 2).alias("tag"), number(h, 2, 2).alias("permissions"), number(h, 4, 4).alias("id")))
+        first = F.transform(pieces, lambda h: F.struct(number(h, 0, 4).alias("t"), number(h, 4, 4).alias("id")))
+        each = F.transform(first, lambda x: F.struct(x["t"].bitwiseAND(F.lit(0xFFFF)).alias("tag"), F.shiftright(x["t"], 16).alias("permissions"), x["id"]))
         return F.when(F.octet_length(data) < 4, fail("ACL too short")).when(from_le(data, 0, 4) != 2, fail("unknown version of an ACL")).when(n > 0, each)
 
+    # An attribute is bound once: each place below, and each of its entries, would make it again.
+    bound = lambda data: F.get(F.transform(F.array(data.cast("binary")), entries), F.lit(0))
+
     def of(found: Column, tag: str) -> Column:
         own = F.filter(found, lambda e: e["tag"] == ACL_TAGS[tag])
         return F.coalesce(F.transform(own, lambda e: F.struct(e["id"].alias("id"), e["permissions"].alias("permissions"))), F.array().cast("array<struct<id: bigint, permissions: bigint>>"))
@@ -207,7 +211,7 @@ def posix_acl(access: Column | str, default: Column | str) -> Column:
         defaults = F.when(d.isNotNull(), F.struct(*[one(d, k) for k in ("user_obj", "group_obj", "other", "mask")]))
         return F.struct(of(a, "user").alias("users"), of(a, "group").alias("groups"), one(a, "group_obj"), defaults.alias("default"), of(d, "user").alias("default_users"), of(d, "group").alias("default_groups"))
 
-    parsed = F.array(F.struct(entries(_c(access)).alias("a"), entries(_c(default)).alias("d")))  # bound once: the fields below would each parse again
+    parsed = F.array(F.struct(bound(_c(access)).alias("a"), bound(_c(default)).alias("d")))  # bound once: the fields below would each parse again
     return F.get(F.transform(parsed, both), F.lit(0))
 
 
