@@ -3,13 +3,16 @@
 import io
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from test_engine import tree
+from vaultframe.functions import batches, codecs
 from vaultframe.functions import scalars as S
 from vaultframe.operators import chunking, index
 from vaultframe.plans import backup
+from vaultframe.plans import queries as Q
 from vaultframe.sources import archive
 
 SCHEMA = (
@@ -124,3 +127,31 @@ def test_an_acl_attribute_is_made_once(spark):
     df = spark.createDataFrame([(b"\2\0\0\0", None)], "a binary, d binary").select(S.posix_acl(made("a"), made("d")).alias("acl"))
     assert df._jdf.queryExecution().optimizedPlan().expressions().mkString().lower().count("unbase64(") <= 2
     assert df._jdf.queryExecution().analyzed().expressions().mkString().lower().count("unbase64(") == 2
+
+
+def _sizes(spark, df):
+    """Rows and bytes of the largest Arrow batch that Python now gets of (data)."""
+
+    def run(of):
+        for b in of:
+            yield pa.RecordBatch.from_pylist([{"n": b.num_rows, "size": b.nbytes}])
+
+    return df.mapInArrow(run, "n long, size long").agg(F.max("n").alias("n"), F.max("size").alias("size")).first()
+
+
+@pytest.mark.parametrize("of", ["cdc_roundtrip", "incremental_backup", "blob_roundtrip"])
+def test_python_gets_few_blobs_at_a_time(spark, sf, of):
+    """With Spark's own setting a worker held 10,000 texts, whatever their length, several times."""
+    for key, value in (("maxRecordsPerBatch", "10000"), ("maxBytesPerBatch", str(64 << 20))):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+    Q.QUERIES[of](spark, sf)
+    most = list(batches.MOST.values())
+    got = _sizes(spark, spark.range(0, 3000, 1, 1).select(F.expr("CAST(repeat('x', 20000) AS binary)").alias("data")))
+    assert got.n <= most[0] and got.size <= most[1] + 100_000
+    assert _sizes(spark, spark.range(0, 3000, 1, 1).select(F.lit(b"x").alias("data"))).n <= most[0]
+
+
+def test_zstd_of_nulls_and_nothing(spark):
+    df = spark.createDataFrame([(0, None), (1, b""), (2, b"a" * 5000)], "k int, d binary")
+    got = df.select("k", codecs.zstd_decompress(codecs.zstd_compress("d")).alias("d")).orderBy("k").collect()
+    assert [r.d and bytes(r.d) for r in got[:1]] + [bytes(r.d) for r in got[1:]] == [None, b"", b"a" * 5000]

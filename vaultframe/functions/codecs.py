@@ -8,10 +8,11 @@ import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
+from vaultframe.functions.batches import small_batches
 from vaultframe.functions.scalars import from_le, le32
 
 # Fixed values of the blob format: what a blob begins with, by kind.
@@ -27,19 +28,34 @@ NAME_KEYS = (0x83AC3F1CFBB450DB, 0xAA4F1B6879369FBD)
 
 
 @F.arrow_udf(BinaryType())
-def zstd_compress(data: pa.Array) -> pa.Array:
+def _compress(data: pa.Array) -> pa.Array:
     import zstandard
 
     c = zstandard.ZstdCompressor(level=1)
-    return pa.array([None if x is None else c.compress(x) for x in data.to_pylist()], pa.binary())
+    return pa.array([c.compress(x.as_buffer()) if x.is_valid else None for x in data], pa.binary())
 
 
 @F.arrow_udf(BinaryType())
-def zstd_decompress(data: pa.Array) -> pa.Array:
+def _decompress(data: pa.Array) -> pa.Array:
     import zstandard
 
     d = zstandard.ZstdDecompressor()
-    return pa.array([None if x is None else d.decompressobj().decompress(x) for x in data.to_pylist()], pa.binary())
+    return pa.array([d.decompressobj().decompress(x.as_buffer()) if x.is_valid else None for x in data], pa.binary())
+
+
+def _batched(of, data: Column | str) -> Column:
+    """A function of whole blobs, in a session that gives Python few of them at a time."""
+    if spark := SparkSession.getActiveSession():
+        small_batches(spark)
+    return of(data)
+
+
+def zstd_compress(data: Column | str) -> Column:
+    return _batched(_compress, data)
+
+
+def zstd_decompress(data: Column | str) -> Column:
+    return _batched(_decompress, data)
 
 
 def hmac_sha256(data: Column, key: bytes) -> Column:
